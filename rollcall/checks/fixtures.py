@@ -53,7 +53,10 @@ select distinct l_returnflag || l_linestatus as file, '' as sheet, 'above' as di
   l_linestatus = 'F' as answer
 from lineitem where l_returnflag <> 'N' or l_linestatus = 'F'
 """
-ABSENT_TOKENS = "select distinct 'Non Rendu' as token from region"
+ABSENT_TOKENS = """
+select distinct case when r_regionkey % 2 = 0 then 'Non Rendu' else ' non rendu ' end as token
+from region
+"""
 
 # A roster with many rows per id: the first in order counts.
 LONG_ROSTER = """

@@ -14,6 +14,7 @@ from rollcall.operators.roster import (
     duplicate_rows,
     full_name_keys,
     index_roster,
+    name_forms,
     name_keys,
     present_rows,
 )
@@ -73,8 +74,8 @@ def roster_missing_id(spark, sf):
     return kept.unionByName(lost.where("n > 0"))
 
 
-def _members(spark, sf):
-    return dedup_members(fx.roster(spark, sf))
+def _forms(spark, sf):
+    return name_forms(dedup_members(fx.roster(spark, sf)))
 
 
 @check(
@@ -88,7 +89,7 @@ def _members(spark, sf):
     """,
 )
 def roster_name_keys(spark, sf):
-    return name_keys(_members(spark, sf))
+    return name_keys(_forms(spark, sf))
 
 
 @check(
@@ -101,7 +102,7 @@ def roster_name_keys(spark, sf):
     """,
 )
 def roster_full_name_keys(spark, sf):
-    return full_name_keys(_members(spark, sf)).select(
+    return full_name_keys(_forms(spark, sf)).select(
         "key", F.col("n_direct").alias("n"), F.col("direct_id").alias("id")
     )
 

@@ -13,7 +13,9 @@ from rollcall.constants import ABSENT_TOKENS
 from rollcall.functions.text import col, strip
 
 DIGITS = r"[0-9]+(?:_[0-9]+)*"
-NUMBER = rf"^[+-]?(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?$"
+DECIMAL = rf"(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?"
+WORD = "(?i:inf|infinity|nan)"
+NUMBER = rf"^[+-]?(?:{DECIMAL}|{WORD})$"
 SPLITTER = 134217729.0  # 2^27 + 1: halves a double's significand exactly
 
 
@@ -35,23 +37,25 @@ def is_absent_token(c: Column | str, extra: Iterable[str] = ()) -> Column:
     return strip(F.upper(col(c))).isin(absent_tokens(extra))
 
 
-def parse_number(c: Column | str) -> Column:
-    """Double for text that is a number in the documented syntax, else null.
+def ascii_digits(s: Column) -> Column:
+    """Decimal digits of other scripts as ASCII ones."""
+    foreign, plain = _digit_table()
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(
+        F.translate(s, foreign, plain)
+    )
+
+
+def number_of(s: Column) -> Column:
+    """Double for trimmed text in the documented syntax, else null.
 
     The gate comes first because a cast alone also takes suffixes like ``15d``.
     """
-    s = strip(c)
-    foreign, ascii_digits = _digit_table()
-    s = F.when(F.octet_length(s) == F.length(s), s).otherwise(
-        F.translate(s, foreign, ascii_digits)
-    )
-    word = F.lower(s)
-    return (
-        F.when(s.rlike(NUMBER), F.translate(s, "_", "").try_cast("double"))
-        .when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-        .when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
-        .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-    )
+    plain = F.regexp_replace(s, "_|^[+-](?=[nN])", "")
+    return F.when(s.rlike(NUMBER), plain.try_cast("double"))
+
+
+def parse_number(c: Column | str) -> Column:
+    return number_of(ascii_digits(strip(c)))
 
 
 def parse_value(c: Column | str, extra: Iterable[str] = ()) -> Column:
@@ -61,14 +65,20 @@ def parse_value(c: Column | str, extra: Iterable[str] = ()) -> Column:
     """
     c = col(c)
     s = strip(c)
+    number = parse_number(F.replace(c, F.lit(","), F.lit(".")))
+    return _assemble(c, s, number, is_absent_token(s, extra))
+
+
+def _assemble(c: Column, s: Column, number: Column, token: Column) -> Column:
     blank = F.lower(s).isin("", "nan")
-    absent = F.coalesce(~blank & is_absent_token(s, extra), F.lit(False))
-    number = F.when(~blank & ~absent, parse_number(F.replace(s, F.lit(","), F.lit("."))))
+    absent = F.coalesce(~blank & token, F.lit(False))
     issue = F.when(blank, "value_empty").when(
         c.isNotNull() & ~absent & number.isNull(), "value_unparsed"
     )
     return F.struct(
-        number.alias("value"), absent.alias("is_absent"), issue.alias("issue")
+        F.when(~blank & ~absent, number).alias("value"),
+        absent.alias("is_absent"),
+        issue.alias("issue"),
     )
 
 
@@ -83,16 +93,24 @@ def out_of_range(v: Column | str, low: float | None, high: float | None) -> Colu
     return F.when(~F.isnan(v), direction)
 
 
+def bound_of(direction: Column, low: float | None, high: float | None) -> Column:
+    """The bound that a direction points beyond."""
+    bound = F.lit(None).cast("double")
+    if high is not None:
+        bound = F.when(direction == "above", F.lit(float(high))).otherwise(bound)
+    if low is not None:
+        bound = F.when(direction == "below", F.lit(float(low))).otherwise(bound)
+    return bound
+
+
 def clamp(v: Column | str, low: float | None, high: float | None) -> Column:
     """Struct of the clamped value and the direction; the upper bound goes first."""
     v = col(v)
     direction = out_of_range(v, low, high)
-    clamped = v
-    if high is not None:
-        clamped = F.when(direction == "above", F.lit(float(high))).otherwise(clamped)
-    if low is not None:
-        clamped = F.when(direction == "below", F.lit(float(low))).otherwise(clamped)
-    return F.struct(clamped.alias("value"), direction.alias("direction"))
+    return F.struct(
+        F.coalesce(bound_of(direction, low, high), v).alias("value"),
+        direction.alias("direction"),
+    )
 
 
 def _halves(x: Column) -> tuple[Column, Column]:

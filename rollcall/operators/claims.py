@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import strip
-from rollcall.functions.values import clamp, parse_value
-from rollcall.operators.lookup import Limits, lookup
+from rollcall.functions.values import (
+    absent_tokens,
+    bound_of,
+    out_of_range,
+    parse_number,
+)
+from rollcall.operators.lookup import Limits, hottest, lookup
 
 
 def with_value(
@@ -27,51 +32,58 @@ def with_value(
 
     A null cell of a file counts as an empty one. Adds value, is_absent,
     value_issue, direction, clamp_answer and parsed_value (before clamping).
+    Each step is a column of its own: an expression that several others use
+    would otherwise be repeated in each of them.
     """
-    raw = F.coalesce("value_raw", F.lit(""))
-    df = df.withColumn("parsed", parse_value(raw, tokens))
+    df = df.withColumn("cell", strip(F.coalesce("value_raw", F.lit(""))))
+    df = df.withColumns(
+        {
+            "cell_number": parse_number(F.replace("cell", F.lit(","), F.lit("."))),
+            "cell_token": F.upper("cell"),
+            "cell_blank": F.lower("cell").isin("", "nan"),
+        }
+    )
+    df = df.withColumn("token_known", F.col("cell_token").isin(absent_tokens(tokens)))
     if token_table is not None:
-        known = token_table.select(
-            strip(F.upper("token")).alias("token_key"), F.lit(True).alias("token_known")
+        saved = token_table.select(
+            strip(F.upper("token")).alias("token_key"), F.lit(True).alias("token_saved")
         ).distinct()
-        key = F.when(F.col("parsed.issue").isNotNull(), strip(F.upper("value_raw")))
-        number_key = F.when(F.col("parsed.value").isNotNull(), strip(F.upper("value_raw")))
+        asked = F.when(~F.col("cell_blank") & ~F.col("token_known"), F.col("cell_token"))
         df = lookup(
-            df.withColumn("token_key", F.coalesce(key, number_key)), known, "token_key",
+            df.withColumn("token_key", asked), saved, "token_key",
             spread=F.col("ord"), small=decisions_small, limits=limits,
-        ).drop("token_key")
-        blank = F.col("parsed.issue") == "value_empty"
-        absent = F.coalesce(F.col("token_known") & ~F.coalesce(blank, F.lit(False)), F.lit(False))
+        )
         df = df.withColumn(
-            "parsed",
-            F.struct(
-                F.when(~absent, F.col("parsed.value")).alias("value"),
-                (F.col("parsed.is_absent") | absent).alias("is_absent"),
-                F.when(~absent, F.col("parsed.issue")).alias("issue"),
-            ),
-        ).drop("token_known")
-    df = df.withColumn("bounded", clamp("parsed.value", low, high))
+            "token_known", F.col("token_known") | F.coalesce("token_saved", F.lit(False))
+        )
+    is_absent = ~F.col("cell_blank") & F.col("token_known")
+    df = df.withColumn("is_absent", is_absent)
+    df = df.withColumn(
+        "parsed_value", F.when(~F.col("cell_blank") & ~F.col("is_absent"), F.col("cell_number"))
+    )
+    issue = F.when(F.col("cell_blank"), "value_empty").when(
+        ~F.col("is_absent") & F.col("parsed_value").isNull(), "value_unparsed"
+    )
+    df = df.withColumns(
+        {"value_issue": issue, "direction": out_of_range("parsed_value", low, high)}
+    )
+    df = df.drop(
+        "cell", "cell_number", "cell_token", "cell_blank", "token_known", "token_key", "token_saved"
+    )
     if clamp_choices is None:
         df = df.withColumn("clamp_answer", F.lit(None).cast("boolean"))
     else:
         answers = clamp_choices.groupBy(
             F.struct("file", "sheet", "direction").alias("clamp_key")
         ).agg(F.bool_or("answer").alias("clamp_answer"))
-        key = F.struct("file", "sheet", F.col("bounded.direction").alias("direction"))
+        key = F.when(F.col("direction").isNotNull(), F.struct("file", "sheet", "direction"))
         df = lookup(
-            df.withColumn("clamp_key", F.when(F.col("bounded.direction").isNotNull(), key)),
-            answers, "clamp_key",
+            df.withColumn("clamp_key", key), answers, "clamp_key",
             spread=F.col("ord"), small=decisions_small, limits=limits,
         ).drop("clamp_key")
     use = F.coalesce("clamp_answer", F.lit(False))
-    return df.select(
-        *(c for c in df.columns if c not in ("parsed", "bounded")),
-        F.when(use, F.col("bounded.value")).otherwise(F.col("parsed.value")).alias("value"),
-        F.col("parsed.value").alias("parsed_value"),
-        F.col("parsed.is_absent").alias("is_absent"),
-        F.col("parsed.issue").alias("value_issue"),
-        F.col("bounded.direction").alias("direction"),
-    )
+    bound = bound_of(F.col("direction"), low, high)
+    return df.withColumn("value", F.when(use, bound).otherwise(F.col("parsed_value")))
 
 
 def first_claims(matched: DataFrame) -> DataFrame:
@@ -79,16 +91,26 @@ def first_claims(matched: DataFrame) -> DataFrame:
 
     Combined before the shuffle: a member with a third of all rows sends one
     row per task. With a numeric ``ord`` every buffer is fixed-width, so this
-    is a hash aggregate.
+    is a hash aggregate. Rows that claim nothing have a null order, which the
+    aggregates skip; a filter here would be pushed below the lookups together
+    with a second copy of all parsing.
     """
-    claims = matched.where(
-        F.col("member").isNotNull() & (F.col("value").isNotNull() | F.col("is_absent"))
-    )
-    return claims.groupBy("member").agg(
-        F.min_by("value", "ord").alias("value"),
-        F.min_by("is_absent", "ord").alias("is_absent"),
-        F.min_by("file_ord", "ord").alias("source_ord"),
-        F.min("ord").alias("first_ord"),
+    claims = F.col("member").isNotNull() & (F.col("value").isNotNull() | F.col("is_absent"))
+    at = F.col("claim_ord")
+    return (
+        matched.select(
+            "member", "value", "is_absent", "file_ord",
+            F.when(claims, F.col("ord")).alias("claim_ord"),
+        )
+        .groupBy("member")
+        .agg(
+            F.min_by("value", at).alias("value"),
+            F.min_by("is_absent", at).alias("is_absent"),
+            F.min_by("file_ord", at).alias("source_ord"),
+            F.min(at).alias("first_ord"),
+            F.count(F.lit(1)).alias("n_rows"),
+        )
+        .where(F.col("first_ord").isNotNull())
     )
 
 
@@ -101,8 +123,9 @@ def with_claim_state(
     member would sort a hot member's rows in one task.
     """
     first = claims.select("member", "first_ord", "source_ord")
+    hot = None if small else hottest(claims, "member", "n_rows", limits)
     joined = lookup(
-        matched, first, "member", spread=F.col("ord"), small=small, limits=limits
+        matched, first, "member", spread=F.col("ord"), small=small, hot=hot, limits=limits
     )
     later = F.coalesce(F.col("ord") > F.col("first_ord"), F.lit(False))
     return joined.withColumn("is_duplicate", later)

@@ -45,6 +45,29 @@ def is_small(df: DataFrame, limits: Limits) -> bool:
     return measured_bytes(df) <= limits.broadcast_bytes
 
 
+def hot_keys(df: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
+    """The most frequent keys with very many rows: at most ``hot_keys`` of them.
+
+    Counted over the rows as given, so pass a plan without lookups in it.
+    """
+    return hottest(
+        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(COUNT)),
+        key,
+        COUNT,
+        limits,
+    )
+
+
+def hottest(counts: DataFrame, key: str, count: str, limits: Limits = Limits()) -> DataFrame:
+    """Hot keys from a table that already counts rows per key."""
+    return (
+        counts.where(F.col(count) >= limits.hot_rows)
+        .orderBy(F.desc(count), key)
+        .limit(limits.hot_keys)
+        .select(key, F.lit(True).alias(HOT))
+    )
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -52,39 +75,38 @@ def lookup(
     *,
     spread: Column,
     small: bool,
+    hot: DataFrame | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Add the columns of ``right`` (at most one row per key) to ``left``.
 
+    A small ``right`` is broadcast. Otherwise rows with a null key, which match
+    nothing, are spread over the tasks, and rows of a ``hot`` key over
+    ``salts`` places, to each of which that key's row of ``right`` is copied.
     ``spread`` identifies a row of ``left``; salts derive from it, so a task
-    that runs again sends its rows to the same places.
+    that runs again sends its rows to the same places. Which keys are salted
+    steers only the distribution: every row is kept and looked up.
     """
     if small:
         return left.join(F.broadcast(right), key, "left")
 
-    # Which keys are worth salting; rows of all other keys stay as they are.
-    hot = (
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias(COUNT))
-        .where(F.col(COUNT) >= limits.hot_rows)
-        .orderBy(F.desc(COUNT), key)
-        .limit(limits.hot_keys)
-        .select(key, F.lit(True).alias(HOT))
-    )
     place = F.xxhash64(spread)
+    salt = F.when(F.col(key).isNull(), F.pmod(place, F.lit(limits.null_spread)))
+    if hot is None:
+        right = right.withColumn(SALT, F.lit(0).cast("bigint"))
+        salted = left.withColumn(SALT, salt.otherwise(F.lit(0)))
+        return salted.join(right, [key, SALT], "left").drop(SALT)
+
     salted = left.join(F.broadcast(hot), key, "left").withColumn(
         SALT,
-        F.when(F.col(key).isNull(), F.pmod(place, F.lit(limits.null_spread)))
-        .when(F.col(HOT), F.pmod(place, F.lit(limits.salts)))
-        .otherwise(F.lit(0)),
-    )
-    copies = F.when(F.col(HOT), F.sequence(F.lit(0), F.lit(limits.salts - 1))).otherwise(
-        F.array(F.lit(0))
+        salt.when(F.col(HOT), F.pmod(place, F.lit(limits.salts))).otherwise(F.lit(0)),
     )
-    spread_right = (
+    copies = F.when(
+        F.col(HOT), F.sequence(F.lit(0), F.lit(limits.salts - 1))
+    ).otherwise(F.array(F.lit(0)))
+    copied = (
         right.join(F.broadcast(hot), key, "left")
         .withColumn(SALT, F.explode(copies.cast("array<bigint>")))
         .drop(HOT)
     )
-    return salted.join(spread_right, [key, SALT], "left").drop(HOT, SALT)
+    return salted.join(copied, [key, SALT], "left").drop(HOT, SALT)

@@ -17,7 +17,7 @@ from rollcall.functions.text import (
     normalize_text,
     strip,
 )
-from rollcall.operators.lookup import Limits, lookup
+from rollcall.operators.lookup import Limits, hot_keys, lookup
 from rollcall.operators.roster import Roster
 
 
@@ -27,26 +27,30 @@ def with_id_hit(obs: DataFrame, roster: Roster, limits: Limits = Limits()) -> Da
         "id_key", F.when(F.col("has_id") & ~is_missing("id_raw"), strip("id_raw"))
     )
     return lookup(
-        keyed, roster.ids, "id_key", spread=F.col("ord"), small=roster.small, limits=limits
+        keyed, roster.ids, "id_key", spread=F.col("ord"), small=roster.small,
+        hot=None if roster.small else hot_keys(keyed, "id_key", limits), limits=limits,
     )
 
 
-def with_name_check(df: DataFrame) -> DataFrame:
-    """Normal forms of both name cells and whether they contradict the id hit.
-
-    Only the whole name counts, so another split into first and last passes.
-    """
+def with_name_forms(df: DataFrame) -> DataFrame:
+    """Normal forms of both name cells, where both are present."""
     present = F.col("has_name") & ~is_null_text("first_raw") & ~is_null_text("last_raw")
-    df = df.withColumns(
+    return df.withColumn("name_present", present).withColumns(
         {
-            "name_present": present,
-            "first_norm": F.when(present, normalize_text("first_raw")),
-            "last_norm": F.when(present, normalize_text("last_raw")),
+            "first_norm": F.when(F.col("name_present"), normalize_text("first_raw")),
+            "last_norm": F.when(F.col("name_present"), normalize_text("last_raw")),
         }
     )
+
+
+def with_name_check(df: DataFrame) -> DataFrame:
+    """Whether the name cells contradict the id hit.
+
+    Only the whole name counts, so another split into first and last passes.
+    """
     seen = F.concat_ws(" ", "first_norm", "last_norm")
     differs = F.col("roster_name").isNotNull() & F.col("name_present")
-    return df.withColumn("mismatch", differs & (seen != F.col("roster_name")))
+    return with_name_forms(df).withColumn("mismatch", differs & (seen != F.col("roster_name")))
 
 
 def with_name_decision(
@@ -65,24 +69,32 @@ def with_name_decision(
     ).drop("pair")
 
 
-def with_name_hit(df: DataFrame, roster: Roster, limits: Limits = Limits()) -> DataFrame:
+def row_name_key() -> Column:
+    """Key of a row's name: first and last if the sheet has both, else merged."""
+    pair = F.concat(F.lit("n:"), name_key(F.col("first_norm"), F.col("last_norm")))
+    merged = F.concat(F.lit("f:"), normalize_text("full_raw"))
+    use_full = ~F.col("has_name") & F.col("has_full") & ~is_missing("full_raw")
+    return F.when(F.col("name_present"), pair).when(use_full, merged)
+
+
+def hot_names(obs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Hot name keys over all rows; rows an id settles only make the set larger."""
+    return hot_keys(with_name_forms(obs).select(row_name_key().alias("name_key")), "name_key", limits)
+
+
+def with_name_hit(
+    df: DataFrame, roster: Roster, hot: DataFrame | None = None, limits: Limits = Limits()
+) -> DataFrame:
     """Name lookup for rows the id did not settle.
 
     One join serves both reading orders and merged names, because the key
     table holds each member under every form. A sheet with first and last name
     never falls back to a merged name.
     """
-    unsettled = F.col("roster_name").isNull()
-    pair = F.concat(F.lit("n:"), name_key(F.col("first_norm"), F.col("last_norm")))
-    merged = F.concat(F.lit("f:"), normalize_text("full_raw"))
-    use_full = ~F.col("has_name") & F.col("has_full") & ~is_missing("full_raw")
-    key = F.when(
-        unsettled,
-        F.when(F.col("name_present"), pair).when(use_full, merged),
-    )
+    key = F.when(F.col("roster_name").isNull(), row_name_key())
     return lookup(
         df.withColumn("name_key", key), roster.names, "name_key",
-        spread=F.col("ord"), small=roster.small, limits=limits,
+        spread=F.col("ord"), small=roster.small, hot=hot, limits=limits,
     )
 
 
@@ -152,11 +164,6 @@ def match(
     """Observations with ``member``, ``tier`` and ``match_issues``."""
     df = with_name_check(with_id_hit(obs, roster, limits))
     df = with_name_decision(df, name_decisions, decisions_small, limits)
-    df = with_name_hit(df, roster, limits)
+    hot = None if roster.small else hot_names(obs, limits)
+    df = with_name_hit(df, roster, hot, limits)
     return df.withColumns(_outcome())
-
-
-WORKING_COLUMNS = [
-    "name_present", "first_norm", "last_norm", "same_person", "name_key",
-    "n_direct", "direct_id", "n_swapped", "swapped_id",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import is_missing, name_key, normalize_text, strip
-from rollcall.operators.lookup import Limits, is_small, lookup
+from rollcall.operators.lookup import Limits, hottest, is_small, lookup
 
 
 @dataclass(frozen=True)
@@ -59,8 +59,10 @@ def duplicate_rows(
 ) -> DataFrame:
     """Dropped roster rows, one issue each."""
     kept = members.where("copies > 1").select("id", F.col("ord").alias("kept_ord"))
+    hot = None if small else hottest(members, "id", "copies", limits)
     joined = lookup(
-        present_rows(rows), kept, "id", spread=F.col("ord"), small=small, limits=limits
+        present_rows(rows), kept, "id",
+        spread=F.col("ord"), small=small, hot=hot, limits=limits,
     )
     return joined.where(F.col("ord") > F.col("kept_ord")).select(
         "id", "first_name", "last_name", "ord", F.lit("dup_roster_id").alias("code")
@@ -68,18 +70,16 @@ def duplicate_rows(
 
 
 def name_forms(members: DataFrame) -> DataFrame:
+    """Normal form of both names; a merged name is their trimmed concatenation."""
     return members.select(
         "id",
         normalize_text("first_name").alias("first"),
         normalize_text("last_name").alias("last"),
-        normalize_text(F.concat_ws(" ", "first_name", "last_name")).alias("forward"),
-        normalize_text(F.concat_ws(" ", "last_name", "first_name")).alias("backward"),
     )
 
 
-def name_keys(members: DataFrame) -> DataFrame:
+def name_keys(forms: DataFrame) -> DataFrame:
     """One row per first-and-last-name key with both reading orders."""
-    forms = name_forms(members)
     both = F.array(
         F.struct(name_key(F.col("first"), F.col("last")).alias("key"), F.lit(False).alias("swapped")),
         F.struct(name_key(F.col("last"), F.col("first")).alias("key"), F.lit(True).alias("swapped")),
@@ -87,10 +87,14 @@ def name_keys(members: DataFrame) -> DataFrame:
     return _count_keys(forms.select("id", F.inline(both)))
 
 
-def full_name_keys(members: DataFrame) -> DataFrame:
+def full_name_keys(forms: DataFrame) -> DataFrame:
     """One row per merged name, written either way round."""
-    forms = name_forms(members)
-    both = F.array_distinct(F.array("forward", "backward"))
+    both = F.array_distinct(
+        F.array(
+            F.trim(F.concat_ws(" ", "first", "last")),
+            F.trim(F.concat_ws(" ", "last", "first")),
+        )
+    )
     keys = forms.select("id", F.explode(both).alias("key"), F.lit(False).alias("swapped"))
     return _count_keys(keys.where("key <> ''"))
 
@@ -124,9 +128,9 @@ def index_roster(
         F.col("id").alias("id_key"), F.concat_ws(" ", "first", "last").alias("roster_name")
     )
     names = (
-        name_keys(members)
+        name_keys(forms)
         .withColumn("key", F.concat(F.lit("n:"), "key"))
-        .unionByName(full_name_keys(members).withColumn("key", F.concat(F.lit("f:"), "key")))
+        .unionByName(full_name_keys(forms).withColumn("key", F.concat(F.lit("f:"), "key")))
         .withColumnRenamed("key", "name_key")
     )
     return Roster(members, ids, names, small)

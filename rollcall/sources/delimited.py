@@ -13,6 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rollcall.constants import HEADER_SEARCH_ROWS, UTF7_PATTERN
 from rollcall.operators.lookup import Limits, is_small
@@ -68,7 +69,7 @@ def latin1() -> Column:
     return F.decode("raw", "ISO-8859-1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_utf7(raw: pd.Series) -> pd.Series:
     def one(line: bytes | None) -> str | None:
         if line is None:

@@ -26,8 +26,8 @@ class Limits:
     null_spread: int = 1 << 20
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the size of a table in memory, by one aggregate."""
+def row_bytes(df: DataFrame) -> Column:
+    """Upper estimate of the size of a row in memory."""
     size = F.lit(16)
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -38,13 +38,39 @@ def measured_bytes(df: DataFrame) -> int:
             )
         else:
             size = size + 8
-    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return size.cast("bigint")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table in memory, by one aggregate."""
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def is_small(df: DataFrame, limits: Limits) -> bool:
     return measured_bytes(df) <= limits.broadcast_bytes
 
 
+def are_small(tables: list[DataFrame], limits: Limits) -> bool:
+    """Whether each of several tables is small, measured in one job."""
+    sizes = None
+    for df in tables:
+        one = df.select(row_bytes(df).alias("size")).agg(F.sum("size").alias("size"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    if sizes is None:
+        return True
+    return (sizes.agg(F.max("size")).first()[0] or 0) <= limits.broadcast_bytes
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer partitions than cores, such as a file of one
+    row group, which one task would otherwise carry through every lookup.
+
+    Large inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hot_keys(df: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
     """The most frequent keys with very many rows: at most ``hot_keys`` of them.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from rollcall.operators import report
 from rollcall.operators.claims import first_claims, with_claim_state, with_value
 from rollcall.operators.decisions import Decisions, pending
-from rollcall.operators.lookup import Limits, is_small
+from rollcall.operators.lookup import Limits, are_small, fill_cores
 from rollcall.operators.match import match
 from rollcall.operators.roster import Roster, duplicate_rows, index_roster
 from rollcall.sources.staging import stage
@@ -105,9 +105,9 @@ def reconcile(
     if files is None:
         files = observations.select("file_ord", "file").distinct()
     tables = [decisions.name_decisions, decisions.absent_tokens, decisions.clamp_choices]
-    small = all(is_small(t, limits) for t in tables if t is not None)
+    small = are_small([t for t in tables if t is not None], limits)
     matched = match(
-        observations, roster,
+        fill_cores(observations), roster,
         name_decisions=decisions.name_decisions, decisions_small=small, limits=limits,
     )
     matched = with_value(

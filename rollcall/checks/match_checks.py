@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollcall.checks import fixtures as fx
 from rollcall.checks.registry import check
+from rollcall.functions.text import is_missing
 from rollcall.operators import decisions as dec
 from rollcall.operators import report
 from rollcall.operators.match import match, with_id_hit, with_name_check
@@ -16,7 +17,6 @@ from rollcall.operators.roster import (
     index_roster,
     name_forms,
     name_keys,
-    present_rows,
 )
 from rollcall.plans.reconcile import Params, reconcile
 
@@ -67,11 +67,8 @@ def roster_duplicates(spark, sf):
     """,
 )
 def roster_missing_id(spark, sf):
-    rows = _long_roster(spark, sf)
-    kept = present_rows(rows).agg(F.count(F.lit(1)).alias("n")).select(F.lit("present").alias("state"), "n")
-    total = rows.agg(F.count(F.lit(1)).alias("t"))
-    lost = kept.crossJoin(F.broadcast(total)).select(F.lit("missing").alias("state"), (F.col("t") - F.col("n")).alias("n"))
-    return kept.unionByName(lost.where("n > 0"))
+    state = F.when(is_missing("id"), "missing").otherwise("present")
+    return _long_roster(spark, sf).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _forms(spark, sf):

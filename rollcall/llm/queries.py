@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from rollcall.llm import bpe, chat, packing, pii, urls
+from rollcall.llm import bpe, chat, jaccard, packing, pii, urls
 from rollcall.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op5_jaccard")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, folder, "documents"), words=3, percent=90)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from rollcall.llm import bpe, chat, jaccard, packing, pii, urls
+from rollcall.llm import ann, bpe, chat, jaccard, packing, pii, urls, vecdedup
 from rollcall.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_jaccard")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, folder, "documents"), words=3, percent=90)
+
+
+@query("op4_ann")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings")
+    return ann.nearest(rows.filter("vec_id % 100 = 0"), rows)
+
+
+@query("op7_vecdedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return vecdedup.near_vectors(read(spark, folder, "embeddings"))

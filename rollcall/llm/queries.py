@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from rollcall.llm import ann, bpe, chat, jaccard, packing, pii, urls, vecdedup
+from rollcall.llm import ann, bpe, chat, jaccard, packing, pages, pii, urls, vecdedup
 from rollcall.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_vecdedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return vecdedup.near_vectors(read(spark, folder, "embeddings"))
+
+
+@query("op6_pages")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(read(spark, folder, "pages"))

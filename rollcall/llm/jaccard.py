@@ -364,3 +364,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = rows.join(found, "class_id", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The given rows and columns, one document of each group of near duplicates: that of the smallest id.
+
+    Documents without words and rows with a null id all stay; of rows that repeat
+    an id one stays.
+    """
+    found = stage(near_duplicates(docs, words, percent, id_col, text_col).select("doc_id", "component_id"), "jaccard_found")
+    kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
+    name = F.col("`" + id_col.replace("`", "``") + "`")
+
+    def of(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")
+        return docs.join(ids, name.cast("long") == F.col("_kept"), "left_semi")
+
+    once = of(kept.filter("count = 1"))
+    again = of(kept.filter("count > 1")).dropDuplicates([id_col])
+    return once.unionByName(again).unionByName(docs.filter(name.isNull()))

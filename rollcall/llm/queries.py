@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from rollcall.llm import ann, bpe, chat, jaccard, packing, pages, pii, urls, vecdedup
+from rollcall.llm import ann, bpe, chat, jaccard, packing, pages, pii, quality, urls, vecdedup
 from rollcall.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pages")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(read(spark, folder, "pages"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))

@@ -143,8 +143,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec
     if not poor.isEmpty():
         cuts = -(-total // ROWS)
         whole = lambda df, salt: df.select(F.size("vec").alias("dim"), F.lit(0).alias("tab"),
-                                           F.lit(0).cast("long").alias("bucket"), salt.cast("int").alias("salt"), "vec_id", "vec")
-        rest = _meet(whole(base, F.pmod(F.xxhash64("vec_id"), F.lit(cuts))),
+                                           F.lit(0).cast("long").alias("bucket"), salt.alias("salt"), "vec_id", "vec")
+        rest = _meet(whole(base, F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int")),
                      whole(poor, F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))), k)
         found = found.unionByName(rest)
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -60,7 +60,8 @@ class WordCodec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(self.WORDS)
         self.space = regex.compile(f"[{SPACE}]+")
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-ſ]+")
+        # Not the capital I with a dot, whose small form is two characters.
+        self.plain = regex.compile("[\x21-\x7e\xa1-" + chr(0x12F) + chr(0x131) + "-" + chr(0x17F) + "]+")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         self._clear()
 

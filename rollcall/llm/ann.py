@@ -98,6 +98,10 @@ def _nearest(k: int):
     return run
 
 
+def _doubled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("vec", F.col("vec").cast("array<double>"))
+
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -116,8 +120,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec
     lengths don't meet; rows that repeat an id count once. A query whose probes
     meet fewer than ``k`` rows is compared with all rows instead, in blocks.
     """
-    base = stage(whole_vectors(rows, id_col, vec_col).filter("vec_id is not null"), "ann_rows")
-    asked = stage(whole_vectors(queries, id_col, vec_col).filter("vec_id is not null").distinct(), "ann_queries")
+    base = stage(_doubled(whole_vectors(rows, id_col, vec_col)).filter("vec_id is not null"), "ann_rows")
+    asked = stage(_doubled(whole_vectors(queries, id_col, vec_col)).filter("vec_id is not null").distinct(), "ann_queries")
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     norm, total = base.agg(F.sqrt(F.avg(square)), F.count("*")).first()
     w = width * (norm or 1.0)

@@ -16,17 +16,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
 from rollcall.llm.tables import narrow, stage
-from rollcall.llm.vectors import matrix, takes_part, whole_vectors
+from rollcall.llm.vectors import takes_part, whole_vectors
 
-BLOCKS = 8
+BLOCKS = 4
 #: Vectors of a slab that are one side of a task, about.
-ROWS = 4096
+ROWS = 12_288
 _SLACK = 1e-9
 
 
@@ -52,31 +52,44 @@ class Space:
         return np.floor(y[:, self.cuts[j][0]] / self.radius[j]).astype(np.int64)
 
 
-def _by_dim(b: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    for dim, same in b.groupby(b["vec"].map(len)):
-        yield int(dim), same.reset_index(drop=True)
+def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of each dimension with their vectors in double precision."""
+    dims = b.column("vec").value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims):
+        same = b.take(pa.array(np.flatnonzero(dims == dim)))
+        yield same, doubles(same.column("vec"), int(dim))
+
+
+def doubles(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _histogram(reps: DataFrame, cosine: float, seed: int) -> dict[tuple[int, int, int], int]:
     """Vectors by dimension, block and slab. Unit vectors have a few dozen slabs a block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
-            for dim, same in _by_dim(b):
+            for _, x in _by_dim(b):
+                dim = x.shape[1]
                 space = Space(dim, cosine, seed)
-                y = space.rotated(matrix(same["vec"]))
+                y = space.rotated(x)
                 for j in range(len(space.cuts)):
                     for s, k in zip(*np.unique(space.slab(y, j), return_counts=True), strict=True):
                         n[dim, j, int(s)] += int(k)
-        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["dim", "j", "s", "n"]).astype("int64")
+        rows = [(*k, v) for k, v in n.items()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["dim", "j", "s", "n"])
 
-    rows = reps.select("vec").mapInPandas(run, "dim long, j long, s long, n long").groupBy("dim", "j", "s").agg(F.sum("n"))
+    rows = reps.select("vec").mapInArrow(run, "dim long, j long, s long, n long").groupBy("dim", "j", "s").agg(F.sum("n"))
     return {(r[0], r[1], r[2]): r[3] for r in rows.collect()}
 
 
+#: Sides of a task: rows of the first are compared with the second, those of ALONE with each other.
+FIRST, SECOND, ALONE = 0, 1, 2
+
+
 def _deal(reps: DataFrame, sizes: dict, cosine: float, seed: int) -> DataFrame:
-    """Rows by task. Side 0 is compared with side 1, or with itself where there is none."""
+    """Rows by task. A slab over ``ROWS`` is cut; each two cuts that may hold a pair are one task."""
     chunks = {k: -(-n // ROWS) for k, n in sizes.items()}
     task: dict[tuple, int] = {}
     for dim, j, s in sorted(chunks):
@@ -85,32 +98,42 @@ def _deal(reps: DataFrame, sizes: dict, cosine: float, seed: int) -> DataFrame:
             for other in [(0, k) for k in range(i, here)] + [(1, k) for k in range(there)]:
                 task[dim, j, s, i, *other] = len(task)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(dim: int, j: int, s: int, c: int) -> Iterator[tuple[int, int]]:
+        """Task and side of every task that a cut takes part in."""
+        here, above, below = (chunks.get((dim, j, s + d), 0) for d in (0, 1, -1))
+        for k in range(here):
+            lo, hi = min(c, k), max(c, k)
+            yield task[dim, j, s, lo, 0, hi], ALONE if lo == hi else SECOND if c == hi else FIRST
+        for k in range(above):
+            yield task[dim, j, s, c, 1, k], FIRST
+        for i in range(below):
+            yield task[dim, j, s - 1, i, 1, c], SECOND
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for dim, same in _by_dim(b):
+            for same, x in _by_dim(b):
+                dim = x.shape[1]
                 space = Space(dim, cosine, seed)
-                y = space.rotated(matrix(same["vec"]))
+                y = space.rotated(x)
+                spread = same.column("rep").to_numpy() * 2654435761 >> 7
                 for j in range(len(space.cuts)):
-                    for row, (s, v) in enumerate(zip(space.slab(y, j).tolist(), same["rep"].tolist(), strict=True)):
-                        c = (v * 2654435761 >> 7) % chunks[dim, j, s]
-                        below = (dim, j, s - 1)
-                        for k in range(chunks[dim, j, s]):  # with its own slab
-                            lo, hi = min(c, k), max(c, k)
-                            out.append((task[dim, j, s, lo, 0, hi], int(c == hi and lo != hi), j, same, row))
-                        for k in range(chunks.get((dim, j, s + 1), 0)):  # with the next slab
-                            out.append((task[dim, j, s, c, 1, k], 0, j, same, row))
-                        for i in range(chunks.get(below, 0)):  # with the slab below
-                            out.append((task[(*below, i, 1, c)], 1, j, same, row))
-            for i in range(0, len(out), 20_000):
-                part = out[i : i + 20_000]
-                yield pd.DataFrame({
-                    "task": [o[0] for o in part], "side": [o[1] for o in part], "j": [o[2] for o in part],
-                    "rep": [o[3]["rep"].iat[o[4]] for o in part], "copies": [o[3]["copies"].iat[o[4]] for o in part],
-                    "vec": [o[3]["vec"].iat[o[4]] for o in part],
-                })
-
-    return reps.mapInPandas(run, "task long, side int, j int, rep long, copies long, vec array<double>")
+                    slab = space.slab(y, j)
+                    for s in np.unique(slab).tolist():
+                        inside = np.flatnonzero(slab == s)
+                        cut = spread[inside] % chunks[dim, j, s]
+                        for c in range(chunks[dim, j, s]):
+                            part = same.take(pa.array(inside[cut == c]))
+                            if not len(part):
+                                continue
+                            for t, side in places(dim, j, s, c):
+                                fixed = [pa.array(np.full(len(part), v), k) for v, k in
+                                         ((t, pa.int64()), (side, pa.int32()), (j, pa.int32()))]
+                                yield pa.record_batch([*fixed, *(part.column(k) for k in ("rep", "copies", "vec"))],
+                                                      ["task", "side", "j", "rep", "copies", "vec"])
+
+    kind = dict(reps.dtypes)["vec"]
+    rows = reps.select("rep", "copies", "vec")
+    return rows.mapInArrow(run, f"task long, side int, j int, rep long, copies long, vec {kind}")
 
 
 def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,37 +151,40 @@ def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(cosine: float, seed: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "rep"], ignore_index=True)
-        x, j = matrix(rows["vec"]), int(rows["j"].iat[0])
+    names = ["node", "links", "top"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
+        vec = rows.column("vec").combine_chunks()
+        x, j = doubles(vec, len(vec[0])), rows.column("j")[0].as_py()
         space = Space(x.shape[1], cosine, seed)
         norm = np.sqrt((x * x).sum(1))
         y = space.rotated(x)
         mine = y[:, space.cuts[j]]
         sweep = mine[:, min(1, mine.shape[1] - 1)]
-        side = rows["side"].to_numpy()
-        alone = not side.any()
+        side = rows.column("side").to_numpy()
+        alone = side[0] == ALONE
         order = np.argsort(sweep, kind="stable")
-        left, right = (order, order) if alone else (order[side[order] == 0], order[side[order] == 1])
-        keys, size = sweep[right], (mine * mine).sum(1)
-        limit, radius = space.share[j] + 1e-7, space.radius[j] + 1e-7
-        copies, found = rows["copies"].to_numpy(), []
-        links = np.zeros(len(rows), np.int64)
+        left, right = (order, order) if alone else (order[side[order] == FIRST], order[side[order] == SECOND])
+        keys, size = sweep[right], (mine * mine).sum(1)[:, None]
+        limit, radius = space.share[j] + 1e-5, space.radius[j] + 1e-6
+        # One product gives squared distances: |a|^2 + |b|^2 - 2 a b, in single precision for a first look.
+        a_form = np.hstack([-2 * mine, size, np.ones_like(size)]).astype(np.float32)
+        b_form = np.hstack([mine, np.ones_like(size), size]).astype(np.float32)[right].T.copy()
+        copies, found = rows.column("copies").to_numpy(), []
+        links = np.zeros(len(x), np.int64)
         for s in range(0, len(left), 256):
             p = left[s : s + 256]
             lo, hi = np.searchsorted(keys, sweep[p[0]] - radius), np.searchsorted(keys, sweep[p[-1]] + radius, "right")
-            if alone:
-                lo = max(lo, s)
-            r = right[lo:hi]
-            if not len(r):
+            lo = max(lo, s) if alone else lo
+            if lo >= hi:
                 continue
-            rough = size[p][:, None] + size[r] - 2 * mine[p] @ mine[r].T
-            u, v = np.nonzero(rough <= limit)
+            u, v = np.divmod(np.flatnonzero(a_form[p] @ b_form[:, lo:hi] <= limit), hi - lo)
             if alone:
                 later = (v + lo) > (u + s)
                 u, v = u[later], v[later]
             for i in range(0, len(u), 50_000):
-                a, b = p[u[i : i + 50_000]], r[v[i : i + 50_000]]
+                a, b = p[u[i : i + 50_000]], right[lo + v[i : i + 50_000]]
                 near = (x[a] * x[b]).sum(1) / (norm[a] * norm[b]) >= cosine
                 a, b = a[near], b[near]
                 square = (y[a] - y[b]) ** 2
@@ -166,14 +192,14 @@ def _compare(cosine: float, seed: int):
                 first = share[:, j] & ~share[:, :j].any(1)
                 found.append((a[first], b[first]))
         if not found:
-            return pd.DataFrame({"node": [], "links": [], "top": []}).astype("int64")
+            return pa.table([pa.array([], pa.int64())] * 3, names)
         a, b = (np.concatenate(f) for f in zip(*found, strict=True))
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        rep = rows["rep"].to_numpy()
-        top = connect(len(rows), a, b)
+        rep = rows.column("rep").to_numpy()
+        top = connect(len(x), a, b)
         some = np.flatnonzero(links)
-        return pd.DataFrame({"node": rep[some], "links": links[some], "top": rep[top[some]]}).astype("int64")
+        return pa.table([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[top[some]])], names)
 
     return run
 
@@ -195,7 +221,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", v
     reps = whole.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = stage(reps, "vec_reps")
     sizes = _histogram(reps, cosine, seed)
-    met = _deal(reps, sizes, cosine, seed).groupBy("task").applyInPandas(
+    met = _deal(reps, sizes, cosine, seed).groupBy("task").applyInArrow(
         _compare(cosine, seed), "node long, links long, top long"
     )
     met = stage(met, "vec_links")

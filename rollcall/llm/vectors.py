@@ -17,10 +17,11 @@ def takes_part(vec: Column) -> Column:
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, vec``: the vectors that take part, in double precision; -0 is 0."""
+    """``vec_id, vec``: the vectors that take part; -0 is 0. Single precision stays, all else is double."""
     src = narrow(rows, vec_id=id_col, vec=vec_col)
-    src = src.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"))
-    return src.filter(takes_part(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    kind = "float" if dict(src.dtypes)["vec"] == "array<float>" else "double"
+    src = src.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast(f"array<{kind}>").alias("vec"))
+    return src.filter(takes_part(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0).cast(kind)))
 
 
 def matrix(column: pd.Series) -> np.ndarray:

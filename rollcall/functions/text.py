@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -177,11 +176,3 @@ def name_similarity(a: Column | str, b: Column | str) -> Column:
 def clean_header(c: Column | str) -> Column:
     """Strip byte order mark, zero-width characters and blanks from the ends."""
     return strip(F.trim(col(c), F.lit(HEADER_JUNK + " ")))
-
-
-def python_fold(text: str) -> str:
-    """The same folding for a plain string, for literals on the driver."""
-    match, replace, several = _folding()
-    table = {ord(m): (replace[i] if i < len(replace) else "") for i, m in enumerate(match)}
-    table.update({ord(k): v for k, v in several.items()})
-    return re.sub(r"\s+", " ", text.lower().translate(table)).strip()

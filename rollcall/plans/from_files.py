@@ -47,7 +47,8 @@ def scan(
     The paths come from the driver's own listing, which Spark needs anyway.
     """
     known = F.col("ext").isin(DELIMITED_EXTENSIONS + WORKBOOK_EXTENSIONS)
-    there = F.coalesce(F.col("length"), F.lit(0)) > 0
+    hidden = F.col("file").rlike("^[_.]")
+    there = (F.coalesce(F.col("length"), F.lit(0)) > 0) & ~hidden
     paths = inputs.where(known & there).select("path", "ext").collect()
     text = [r.path for r in paths if r.ext in DELIMITED_EXTENSIONS]
     books = [r.path for r in paths if r.ext in WORKBOOK_EXTENSIONS]
@@ -56,18 +57,21 @@ def scan(
         "plain",
         F.when(~known, "unsupported extension")
         .when(F.col("length").isNull(), "no such file")
+        .when(hidden, "Spark reads no file whose name begins with _ or .")
         .otherwise("no data in the file").alias("error"),
     )
     if text:
-        cells, profiles = scan_delimited(spark, text, limits)
+        cells, _ = scan_delimited(spark, text, limits)
         lines = lines.unionByName(
             cells.select("plain", F.lit(0).alias("sheet_ord"), F.lit("").alias("sheet"), "row_idx", "cells")
         )
-        errors = errors.unionByName(profiles.where("error is not null").select("plain", "error"))
     if books:
         rows = stage(scan_workbooks(spark, books), "workbooks")
-        lines = lines.unionByName(rows.where("error is null").drop("error"))
-        errors = errors.unionByName(rows.where("error is not null").select("plain", "error"))
+        failed = rows.where("error is not null").select("plain", "error")
+        # A file that fails half-way counts for nothing.
+        whole = rows.where("error is null").drop("error").join(failed.select("plain"), "plain", "left_anti")
+        lines = lines.unionByName(whole.select(*lines.columns))
+        errors = errors.unionByName(failed)
     return lines, errors
 
 

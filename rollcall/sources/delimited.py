@@ -8,61 +8,70 @@ decoding and splitting are built-in functions.
 
 from __future__ import annotations
 
-
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rollcall.constants import HEADER_SEARCH_ROWS, UTF7_PATTERN
+from rollcall.constants import UTF7_PATTERN
 from rollcall.operators.lookup import Limits, is_small
-from rollcall.sources.inputs import plain_path
+from rollcall.sources.inputs import literal, plain_path
 from rollcall.sources.staging import stage
 
 # Delimiters in order of preference at equal counts: a comma may be a decimal mark.
 DELIMITERS = ["\t", ";", "|", ","]
-WIDTH_PROBE = HEADER_SEARCH_ROWS + 1
 BYTE_ORDER_MARK = "\ufeff"
-# A quoted cell longer than this is a stray quote, not a cell. Fixed value.
-CELL_LIMIT = 131072
 C1 = "".join(map(chr, range(0x80, 0xA0)))
 # Bytes that the Windows code page leaves undefined follow from its codec.
 CP1252_UNDEFINED = [b for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore")]
 CP1252 = "".join(bytes([ord(c)]).decode("cp1252", "ignore") or c for c in C1)
 
 
+BLANKS = " \t\x0b\x0c\x00"
+
+
 def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Non-blank lines with their file, split and rising number, written once.
+    """All lines with their file, split and rising number, written once.
 
     The number depends on how files are packed into tasks, so it is fixed in a
     table before anything is derived from it.
     """
-    lines = spark.read.text(paths).select(
+    lines = spark.read.text([literal(p) for p in paths]).select(
         plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("plain"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("raw"),
     )
-    kept = lines.where(F.trim(F.decode("raw", "ISO-8859-1"), F.lit(" \t\x0b\x0c\x00")) != "")
-    return stage(kept.withColumn("n", F.monotonically_increasing_id()), "lines")
+    blank = F.trim(latin1(), F.lit(BLANKS)) == ""
+    return stage(lines.withColumns({"blank": blank, "n": F.monotonically_increasing_id()}), "lines")
 
 
 def blocks(raw: DataFrame) -> DataFrame:
-    """First number and count of each split, with the lines before it in its file."""
+    """Lines of each split, those that are not blank, and how many of these its file has before it."""
     counted = raw.groupBy("plain", "block").agg(
-        F.min("n").alias("first_n"), F.count(F.lit(1)).alias("n_lines")
+        F.min("n").alias("first_n"), F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("blank")).alias("n_lines")
+    )
+    of_file = Window.partitionBy("plain").orderBy("block")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumns(
+        {"skip": F.coalesce(F.sum("n_lines").over(before), F.lit(0)), "opens": F.row_number().over(of_file) == 1}
     )
-    before = Window.partitionBy("plain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("skip", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
 
 
-def placed(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Lines with row_idx, their number in the file."""
-    where = blocks(raw)
-    where = F.broadcast(where) if is_small(where, limits) else where
-    return raw.join(where, ["plain", "block"]).withColumn(
-        "row_idx", F.col("skip") + F.col("n") - F.col("first_n")
+def placed(raw: DataFrame, where: DataFrame, small: bool) -> DataFrame:
+    """Lines that are not blank with row_idx, their number among these in the file.
+
+    Numbers rise by one within a split, so only splits with blank lines are sorted.
+    """
+    sent = F.broadcast(where) if small else where
+    every = raw.join(sent, ["plain", "block"])
+    full = every.where("n_all = n_lines").withColumn("row_idx", F.col("skip") + F.col("n") - F.col("first_n"))
+    within = Window.partitionBy("plain", "block").orderBy("n")
+    gaps = every.where("n_all > n_lines and not blank").withColumn(
+        "row_idx", F.col("skip") + F.row_number().over(within) - 1
     )
+    return full.unionByName(gaps)
 
 
 def latin1() -> Column:
@@ -86,46 +95,82 @@ def _outside_quotes(c: Column | str) -> Column:
     return F.regexp_replace(c, '"[^"]*"', "")
 
 
+QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _mark(delimiter: str) -> str:
+    return f"\\{delimiter}" if delimiter == "|" else delimiter
+
+
+def opens(text: Column, delimiter: str) -> Column:
+    """Whether a line that begins outside quotes ends inside them.
+
+    A quote opens at the start of a cell only; the next one that is not doubled
+    closes. Possessive patterns need no stack, however long a line is.
+    """
+    d = _mark(delimiter)
+    left = F.regexp_replace(text, f"(^|{d}){QUOTED}[^{d}]*+", "$1")
+    return F.contains(text, F.lit('"')) & left.rlike(f'(^|{d})"')
+
+
+def stays_open(text: Column, delimiter: str) -> Column:
+    """Whether a line that begins inside quotes ends inside them."""
+    d = _mark(delimiter)
+    close = f'^[^"]*+(?:""[^"]*+)*+"[^{d}]*+'
+    return ~text.rlike(close) | opens(F.regexp_replace(text, close, ""), delimiter)
+
+
+def by_delimiter(make) -> Column:
+    """``make`` for the delimiter of the row's file."""
+    return reduce(lambda out, d: out.when(F.col("delimiter") == d, make(d)), DELIMITERS, F.when(F.lit(False), None))
+
+
 def profile(lines: DataFrame) -> DataFrame:
     """Encoding and delimiter per file.
 
     UTF-8 if every line decodes, else the Windows code page if no line has a
     byte it leaves undefined, else Latin-1. A shift sequence in the first two
     lines makes it UTF-7 if every line decodes as such. The delimiter is the
-    one found on most of the first lines, then the most frequent.
+    one found on most lines, then the most frequent.
     """
     undefined = "[" + "".join(f"\\x{{{b:x}}}" for b in CP1252_UNDEFINED) + "]"
-    head = F.col("row_idx") <= WIDTH_PROBE
-    seen = F.when(head, _outside_quotes(latin1()))
+    seen = _outside_quotes(latin1())
     counts = [
         F.length(seen) - F.length(F.replace(seen, F.lit(d), F.lit(""))) for d in DELIMITERS
     ]
-    quotes = F.length(latin1()) - F.length(F.replace(latin1(), F.lit('"'), F.lit("")))
     per_file = lines.groupBy("plain").agg(
         F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
         F.bool_and(~latin1().rlike(undefined)).alias("cp1252"),
         F.bool_or((F.col("row_idx") < 2) & latin1().rlike(UTF7_PATTERN)).alias("shifted"),
-        F.bool_or((quotes % 2 == 1) & latin1().rlike('(^|[,;|\t])"')).alias("open_quote"),
+        *(F.bool_or(opens(_unmarked(latin1()), d)).alias(f"open{i}") for i, d in enumerate(DELIMITERS)),
         *(F.count_if(c > 0).alias(f"on{i}") for i, c in enumerate(counts)),
         *(F.sum(c).alias(f"of{i}") for i, c in enumerate(counts)),
     )
     ranked = F.array(
         *(
-            F.struct(F.col(f"on{i}").alias("lines"), F.col(f"of{i}").alias("total"),
-                     F.lit(-i).alias("rank"), F.lit(d).alias("delimiter"))
+            F.struct(F.col(f"on{i}").alias("lines"), F.col(f"of{i}").alias("total"), F.lit(-i).alias("rank"),
+                     F.lit(d).alias("delimiter"), F.col(f"open{i}").alias("opens"))
             for i, d in enumerate(DELIMITERS)
         )
     )
     best = F.array_max(ranked)
+    found = best["lines"] > 0
+    comma = DELIMITERS.index(",")
     return per_file.select(
         "plain",
         F.when(F.col("utf8"), "utf-8").when(F.col("cp1252"), "cp1252").otherwise("latin-1").alias("encoding"),
-        F.when(best["lines"] > 0, best["delimiter"]).otherwise(",").alias("delimiter"),
+        F.when(found, best["delimiter"]).otherwise(",").alias("delimiter"),
         "shifted",
-        "open_quote",
+        # UTF-7 may hide quotes in shift sequences.
+        (F.when(found, best["opens"]).otherwise(F.col(f"open{comma}")) | F.col("shifted")).alias("open_quote"),
     )
 
 
+def _unmarked(text: Column) -> Column:
+    """Without the bytes of a byte order mark, which may stand before a quote."""
+    return F.regexp_replace(text, "^\u00ef\u00bb\u00bf", "")
+
+
 def with_utf7(lines: DataFrame, profiles: DataFrame) -> DataFrame:
     """Turn shifted files into UTF-7 where every line decodes; others stay."""
     shifted = profiles.where("shifted").select("plain")
@@ -160,101 +205,109 @@ def decoded(lines: DataFrame, any_utf7: bool) -> DataFrame:
 
 
 def split_line(text: Column | str, delimiter: Column | str) -> Column:
-    """Cells of one line: quoted cells may hold delimiters and doubled quotes."""
+    """Cells of one record: quoted cells may hold delimiters, breaks and doubled quotes."""
     out = None
     for d in DELIMITERS:
-        p = f"\\{d}" if d == "|" else d
-        cell = f'{p}("[^"]*(?:""[^"]*)*"[^{p}]*|[^{p}]*)'
+        p = _mark(d)
+        cell = f"{p}({QUOTED}[^{p}]*+|[^{p}]*+)"
         cells = F.regexp_extract_all(F.concat(F.lit(d), text), F.lit(cell), F.lit(1))
         here = F.col(delimiter) == d if isinstance(delimiter, str) else delimiter == d
         out = F.when(here, cells) if out is None else out.when(here, cells)
 
     def unquote(c: Column) -> Column:
-        body = F.regexp_replace(c, '(?s)^"([^"]*(?:""[^"]*)*)"(.*)$', "$1$2")
-        return F.when(c.startswith('"'), F.replace(body, F.lit('""'), F.lit('"'))).otherwise(c)
+        # A quote that never closes is part of the text.
+        body = F.regexp_extract(c, f"(?s)^({QUOTED})", 1)
+        inner = F.replace(F.substring(body, F.lit(2), F.length(body) - 2), F.lit('""'), F.lit('"'))
+        rest = F.substring(c, F.length(body) + 1, F.length(c))
+        return F.when(body != "", F.concat(inner, rest)).otherwise(c)
 
     quoted = F.contains(F.col(text) if isinstance(text, str) else text, F.lit('"'))
     return F.when(quoted, F.transform(out, unquote)).otherwise(out)
 
 
-def record_starts(lines: DataFrame) -> DataFrame:
-    """Lines of files with quoted line breaks, with the line their record starts at.
+def records(lines: DataFrame) -> DataFrame:
+    """Lines with ``record``, the number in its file of the record they belong to.
 
-    A line with an odd number of quotes opens or closes a quoted cell. The
-    running parity within a split, and over the splits before it, tells which
-    lines continue a record; a window spans one split at most.
+    A line maps the state it begins in, inside quotes or outside, to the one it
+    ends in: it keeps it, turns it round, or fixes it. The state before a line is
+    that of the last line that fixed it, turned round as often as lines since then
+    do so. This is worked out within each split, then over the splits of a file. A
+    quote that no later line closes opens nothing: its line is taken as it stands.
     """
-    text = F.col("text")
-    odd = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2
-    lines = lines.withColumn("odd", odd)
-    in_file = Window.partitionBy("plain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy("plain", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        lines.groupBy("plain", "block")
-        .agg(F.sum("odd").alias("flips"))
-        .withColumn("carried", F.coalesce(F.sum("flips").over(in_file), F.lit(0)))
-        .drop("flips")
-    )
-    stated = lines.join(carry, ["plain", "block"]).withColumn(
-        "inside", (F.col("carried") + F.coalesce(F.sum("odd").over(in_block), F.lit(0))) % 2 == 1
+    place = F.struct("block", "n")
+    lines = lines.withColumns(
+        {"open0": by_delimiter(lambda d: opens(F.col("text"), d)), "open1": by_delimiter(lambda d: stays_open(F.col("text"), d))}
     )
-    own = Window.partitionBy("plain", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    stated = stated.withColumn(
-        "own_start", F.max(F.when(~F.col("inside"), F.col("row_idx"))).over(own)
+    closers = lines.where("not open1").groupBy("plain").agg(F.max(place).alias("last_close"))
+    lines = lines.join(closers, "plain", "left").withColumn(
+        "open0", F.col("open0") & F.coalesce(place < F.col("last_close"), F.lit(False))
     )
-    last_start = (
-        stated.groupBy("plain", "block")
-        .agg(F.max("own_start").alias("last_start"))
-        .withColumn("earlier_start", F.max("last_start").over(in_file))
-        .drop("last_start")
+    lines = lines.withColumns(
+        {
+            "turn": (F.col("open0") & ~F.col("open1")).cast("int"),
+            "fix": F.when(F.col("open0") == F.col("open1"), F.col("open0").cast("int")),
+        }
     )
-    return stated.join(last_start, ["plain", "block"]).withColumn(
-        "start", F.coalesce("own_start", "earlier_start", F.lit(0))
+    of_split = Window.partitionBy("plain", "block").orderBy("n")
+    upto, before = (of_split.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    lines = lines.withColumn("turns", F.sum("turn").over(upto))
+    mark = F.when(F.col("fix").isNotNull(), F.struct("fix", "turns"))
+    lines = lines.withColumn("fixed", F.last(mark, ignorenulls=True).over(before))
+    # What a whole split does to the state.
+    done = lines.groupBy("plain", "block").agg(
+        F.sum("turn").alias("all_turns"), F.max(F.when(mark.isNotNull(), F.struct("n", "fix", "turns"))).alias("end")
+    ).withColumns(
+        {
+            "s_fix": F.when(F.col("end").isNotNull(), (F.col("end.fix") + F.col("all_turns") - F.col("end.turns")) % 2),
+            "s_turn": F.when(F.col("end").isNull(), F.col("all_turns") % 2).otherwise(0),
+        }
     )
-
-
-def stray_quotes(started: DataFrame) -> DataFrame:
-    """Files in which a quote stays open for longer than a cell can be."""
-    sizes = started.groupBy("plain", "start").agg(
-        F.sum(F.length("text")).alias("size"), F.count(F.lit(1)).alias("n_lines")
+    of_file = Window.partitionBy("plain").orderBy("block")
+    file_upto, file_before = (of_file.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    done = done.withColumn("s_turns", F.sum("s_turn").over(file_upto))
+    s_mark = F.when(F.col("s_fix").isNotNull(), F.struct("s_fix", "s_turns"))
+    done = done.withColumn("s_fixed", F.last(s_mark, ignorenulls=True).over(file_before))
+    turned = F.col("s_turns") - F.col("s_turn")
+    start = F.coalesce(F.col("s_fixed.s_fix") + turned - F.col("s_fixed.s_turns"), turned) % 2
+    lines = lines.join(done.select("plain", "block", start.alias("start")), ["plain", "block"])
+    turned = F.col("turns") - F.col("turn")
+    inside = F.coalesce(F.col("fixed.fix") + turned - F.col("fixed.turns"), F.col("start") + turned) % 2
+    lines = lines.withColumn("inside", inside == 1).where("inside or not blank")
+    begun = (~F.col("inside")).cast("bigint")
+    counts = lines.groupBy("plain", "block").agg(F.sum(begun).alias("begun")).withColumn(
+        "earlier", F.coalesce(F.sum("begun").over(file_before), F.lit(0))
     )
-    long = (F.col("size") > CELL_LIMIT) & (F.col("n_lines") > 1)
-    return sizes.where(long).select("plain").distinct()
+    numbered = lines.join(counts.drop("begun"), ["plain", "block"])
+    return numbered.withColumn("record", F.col("earlier") + F.sum(begun).over(upto) - 1)
 
 
-def joined_lines(started: DataFrame, stray: DataFrame) -> DataFrame:
-    """Whole records; each is shorter than the cell limit times its cells."""
+def joined_lines(numbered: DataFrame) -> DataFrame:
+    """Whole records; their number is ``row_idx``."""
     return (
-        started.join(stray, "plain", "left_anti")
-        .groupBy("plain", "delimiter", "start")
-        .agg(F.array_sort(F.collect_list(F.struct("row_idx", "text"))).alias("parts"))
-        .select(
-            "plain", "delimiter", F.col("start").alias("row_idx"),
-            F.array_join("parts.text", "\n").alias("text"),
-        )
+        numbered.groupBy("plain", "delimiter", F.col("record").alias("row_idx"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "n", "text"))).alias("parts"))
+        .select("plain", "delimiter", "row_idx", F.array_join("parts.text", "\n").alias("text"))
     )
 
 
 def scan_delimited(
     spark: SparkSession, paths: list[str], limits: Limits = Limits()
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines as (plain, row_idx, cells), and per file encoding, delimiter, error."""
-    lines = placed(raw_lines(spark, paths), limits)
+    """Records as (plain, row_idx, cells), and per file its encoding and delimiter."""
+    raw = raw_lines(spark, paths)
+    where = stage(blocks(raw), "blocks")
+    few = is_small(where, limits)
+    lines = placed(raw, where, few)
     profiles = stage(with_utf7(lines, profile(lines)), "profiles")
-    small = is_small(profiles, limits)
-    kinds = profiles.agg(
-        F.bool_or(F.col("encoding") == "utf-7"), F.bool_or("open_quote")
-    ).first()
-    known = F.broadcast(profiles) if small else profiles
-    text = decoded(lines.join(known, "plain"), bool(kinds[0]))
-    keep = ["plain", "delimiter", "row_idx", "text"]
-    profiles = profiles.withColumn("error", F.lit(None).cast("string"))
+    known = F.broadcast(profiles) if is_small(profiles, limits) else profiles
+    kinds = profiles.agg(F.bool_or(F.col("encoding") == "utf-7"), F.bool_or("open_quote")).first()
+    lines = lines.join(known, "plain")
+    plain = lines.where(~F.col("open_quote"))
+    text = decoded(plain, bool(kinds[0])).select("plain", "delimiter", "row_idx", "text")
     if kinds[1]:
-        started = record_starts(text.where("open_quote"))
-        stray = stage(stray_quotes(started), "stray")
-        records = joined_lines(started, stray).select(*keep)
-        text = text.where(~F.col("open_quote")).select(*keep).unionByName(records)
-        profiles = profiles.drop("error").join(
-            stray.withColumn("error", F.lit("a quoted cell never closes")), "plain", "left"
-        )
+        first = F.col("opens") & (F.col("n") == F.col("first_n"))
+        every = raw.join(F.broadcast(where) if few else where, ["plain", "block"]).join(known, "plain")
+        every = every.where("open_quote").withColumn("row_idx", F.when(first, 0).otherwise(1))
+        quoted = joined_lines(records(decoded(every, bool(kinds[0]))))
+        text = text.unionByName(quoted)
     return text.select("plain", "row_idx", split_line("text", "delimiter").alias("cells")), profiles

@@ -3,33 +3,52 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.constants import DELIMITED_EXTENSIONS, WORKBOOK_EXTENSIONS
 
-SCHEMA = "given bigint, path string"
+SCHEMA = "file_ord int, path string, file string, length bigint, plain string, ext string"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
 
 
 def plain_path(c: Column | str) -> Column:
     """A path without scheme and authority."""
-    return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.regexp_replace(c, _SCHEME, "")
 
 
-def children(spark: SparkSession, folder: str) -> DataFrame:
-    """Files directly in a folder; contents are not read."""
+def literal(path: str) -> str:
+    """A path whose brackets, braces, stars and question marks stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _status(spark: SparkSession, path: str):
+    """What the path's file system knows of it; None if there is no such file."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        found = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*")
-    except AnalysisException as err:
-        raise ValueError(f"'{folder}' is not a directory with files") from err
-    parent = F.regexp_replace(plain_path("path"), "/[^/]*$", "")
-    return found.select("path", "length", parent.alias("parent"))
+        return store, store.getFileStatus(at)
+    except Py4JJavaError as err:
+        if "FileNotFoundException" in str(err.java_exception.getClass().getName()):
+            return store, None
+        raise
+
+
+def children(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Path and length of the files directly in a folder, whatever their names."""
+    store, status = _status(spark, folder)
+    if status is None or not status.isDirectory():
+        raise ValueError(f"'{folder}' is not a directory")
+    return [(f.getPath().toString(), f.getLen()) for f in store.listStatus(status.getPath()) if f.isFile()]
 
 
-def extension() -> Column:
-    return F.lower(F.regexp_extract("file", r"(\.[^./]*)$", 1))
+def extension(name: str) -> str:
+    found = re.search(r"\.[^./]*$", name)
+    return found[0].lower() if found else ""
 
 
 def list_inputs(
@@ -40,50 +59,28 @@ def list_inputs(
 ) -> DataFrame:
     """Inputs: the given files in order, then a folder's files by path.
 
-    Columns file_ord, path, file, ext, length. Relative paths count from
+    Columns file_ord, path, file, length, plain, ext. Relative paths count from
     ``base``; a path named twice keeps its first place; a given file that does
     not exist has a null length. Only known extensions are taken of a folder.
+    The driver lists through the path's file system, which Spark needs anyway.
     """
 
     def absolute(p: str) -> str:
         return p if "://" in p or p.startswith("file:") else posixpath.normpath(posixpath.join(base, p))
 
-    given = [absolute(f) for f in files or []]
-    explicit = spark.createDataFrame(list(enumerate(given)), SCHEMA).withColumn("plain", plain_path("path"))
-    parents = sorted({posixpath.dirname(p) for p in given})
-    found = None
-    for parent in parents:
-        try:
-            here = children(spark, parent)
-        except ValueError:
-            continue
-        found = here if found is None else found.unionByName(here)
-    if found is None:
-        explicit = explicit.withColumn("length", F.lit(None).cast("bigint"))
-    else:
-        sizes = found.select(plain_path("path").alias("plain"), "length").distinct()
-        explicit = explicit.join(sizes, "plain", "left")
-    listed = explicit.select("given", "path", "plain", "length")
+    listed: list[tuple[str, int | None]] = []
+    for path in map(absolute, files or []):
+        _, status = _status(spark, path)
+        listed.append((path, status.getLen() if status is not None and status.isFile() else None))
     if folder is not None:
-        inside = absolute(folder).rstrip("/")
-        known = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(
-            DELIMITED_EXTENSIONS + WORKBOOK_EXTENSIONS
-        )
-        direct = F.col("parent") == plain_path(F.lit(inside))
-        scanned = children(spark, inside).where(known & direct).select(
-            F.lit(len(given)).cast("bigint").alias("given"), "path", plain_path("path").alias("plain"), "length"
-        )
-        listed = listed.unionByName(scanned)
-    first = listed.groupBy("plain").agg(
-        F.min("given").alias("given"), F.min_by("path", "given").alias("path"),
-        F.max("length").alias("length"),
-    )
-    # The listing itself is driver-side and small; the window orders it.
-    order = Window.orderBy("given", "plain")
-    return first.select(
-        (F.row_number().over(order) - 1).alias("file_ord"),
-        "path",
-        F.regexp_extract("plain", "([^/]+)$", 1).alias("file"),
-        "length",
-        "plain",
-    ).withColumn("ext", extension())
+        known = DELIMITED_EXTENSIONS + WORKBOOK_EXTENSIONS
+        inside = [c for c in children(spark, absolute(folder).rstrip("/")) if extension(c[0]) in known]
+        listed += sorted(inside, key=lambda c: re.sub(_SCHEME, "", c[0]).encode())
+    first: dict[str, tuple[str, int | None]] = {}
+    for path, length in listed:
+        first.setdefault(re.sub(_SCHEME, "", path), (path, length))
+    rows = [
+        (n, path, plain.rsplit("/", 1)[-1], length, plain, extension(plain))
+        for n, (plain, (path, length)) in enumerate(first.items())
+    ]
+    return spark.createDataFrame(rows, SCHEMA)

@@ -17,9 +17,15 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in tests on one machine, a folder of our own.
+    Only on one machine it may be unset, as in tests; a folder of our own serves then.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {master} share")
+    return _own_folder()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -8,6 +8,7 @@ turn sheet XML into rows of strings, streaming one sheet at a time.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -16,7 +17,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.sources.inputs import plain_path
+from rollcall.sources.inputs import literal, plain_path
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -34,11 +35,31 @@ Row = list[str | None]
 
 
 def number_text(value: str) -> str:
-    """Whole numbers without a fraction, others in shortest form."""
+    """Whole numbers as they stand or without a fraction, others in shortest form."""
+    if value.lstrip("-").isdigit():
+        return value
     x = float(value)
     return str(int(x)) if x.is_integer() and abs(x) < 1e16 else str(x)
 
 
+def date_text(value: str) -> str:
+    """Date, or time of day below one; days that no calendar has stay numbers."""
+    try:
+        days = float(value)
+        at = datetime(1899, 12, 30) + timedelta(milliseconds=round(days * 86_400_000))
+    except (OverflowError, ValueError):
+        return number_text(value)
+    return str(at.time()) if 0 <= days < 1 else str(at)
+
+
+def time_text(value: str) -> str:
+    """A duration such as PT13H30M00S as a time of day, or as it stands."""
+    m = re.fullmatch(r"PT(\d+)H(\d+)M(\d+)(?:[.,](\d+))?S", value)
+    if not m or int(m[1]) > 23:
+        return value
+    return f"{int(m[1]):02}:{int(m[2]):02}:{int(m[3]):02}" + (f".{m[4]:0<6}" if m[4] and int(m[4]) else "")
+
+
 def _date_styles(book: zipfile.ZipFile) -> set[int]:
     if "xl/styles.xml" not in book.namelist():
         return set()
@@ -77,7 +98,7 @@ def _xlsx_cell(c: ET.Element, shared: list[str], dates: set[int]) -> str | None:
         return "True" if v.text == "1" else "False"
     if kind == "n":
         if int(c.get("s", "0")) in dates:
-            return str(datetime(1899, 12, 30) + timedelta(days=float(v.text)))
+            return date_text(v.text)
         return number_text(v.text)
     return v.text
 
@@ -129,6 +150,8 @@ def _ods_cell(c: ET.Element) -> str | None:
         return "True" if c.get(f"{OFFICE}boolean-value") == "true" else "False"
     if kind == "date":
         return str(datetime.fromisoformat(c.get(f"{OFFICE}date-value")))
+    if kind == "time":
+        return time_text(c.get(f"{OFFICE}time-value"))
     if kind is None:
         return None
     return "\n".join("".join(_ods_text(p)) for p in c.findall(f"{TEXT}p")) or None
@@ -198,13 +221,16 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             rows = []
                     if empty:
                         rows.append((plain, number, name, 0, [], None))
-            except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, TypeError) as err:
+            except Exception as err:  # noqa: BLE001 - whatever a damaged file raises, the run goes on
                 rows.append((plain, None, None, None, None, f"{type(err).__name__}: {err}"))
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
 
 def scan_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of every sheet, or one row with ``error`` for an unreadable file."""
-    files = spark.read.format("binaryFile").load(paths)
+    """Rows of every sheet, and a row with ``error`` for an unreadable file.
+
+    Rows read before the error come too; the caller drops that file's.
+    """
+    files = spark.read.format("binaryFile").load([literal(p) for p in paths])
     return files.select(plain_path("path").alias("plain"), "content").mapInPandas(_read, SCHEMA)

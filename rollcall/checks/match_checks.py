@@ -267,6 +267,8 @@ def _run(spark, sf, **kw):
             clamp_choices=spark.sql(fx.CLAMP_CHOICES),
         ),
         params=Params(min_value=2, max_value=20),
+        # The given tables are files of one row group.
+        thin=True,
         **kw,
     )
 

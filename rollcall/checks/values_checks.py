@@ -170,6 +170,6 @@ def extra_absent_tokens(spark, sf):
     cells = spark.sql(CELLS).withColumnRenamed("raw", "value_raw").withColumn(
         "ord", F.struct("src", "a", "b", "c", "d")
     )
-    return with_value(cells, token_table=tokens, decisions_small=True).select(
+    return with_value(cells, token_table=tokens, tokens_small=True).select(
         "src", "a", "b", "c", "d", "value", "is_absent", F.col("value_issue").alias("issue")
     )

@@ -25,7 +25,8 @@ def with_value(
     tokens: Iterable[str] = (),
     token_table: DataFrame | None = None,
     clamp_choices: DataFrame | None = None,
-    decisions_small: bool = False,
+    tokens_small: bool = False,
+    clamps_small: bool = False,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Parse value_raw and clamp it where a decision says so.
@@ -51,7 +52,7 @@ def with_value(
         asked = F.when(~F.col("cell_blank") & ~F.col("token_known"), F.col("cell_token"))
         df = lookup(
             df.withColumn("token_key", asked), saved, "token_key",
-            spread=F.col("ord"), small=decisions_small, limits=limits,
+            spread=F.col("ord"), small=tokens_small, limits=limits,
         )
         df = df.withColumn(
             "token_known", F.col("token_known") | F.coalesce("token_saved", F.lit(False))
@@ -79,7 +80,7 @@ def with_value(
         key = F.when(F.col("direction").isNotNull(), F.struct("file", "sheet", "direction"))
         df = lookup(
             df.withColumn("clamp_key", key), answers, "clamp_key",
-            spread=F.col("ord"), small=decisions_small, limits=limits,
+            spread=F.col("ord"), small=clamps_small, limits=limits,
         ).drop("clamp_key")
     use = F.coalesce("clamp_answer", F.lit(False))
     bound = bound_of(F.col("direction"), low, high)

@@ -27,6 +27,35 @@ class Decisions:
     absent_tokens: DataFrame | None = None
     clamp_choices: DataFrame | None = None
 
+    def with_answers(self, answered: DataFrame) -> Decisions:
+        """These answers and new ones: rows of ``pending`` with a text column ``answer``.
+
+        A column's answer is its name, or null to decline; a sheets' answer is the
+        name of a sheet, one row per sheet kept, or null for none; names and
+        clamping are 'true' or 'false'; a token is saved if 'true'. A new answer
+        takes the place of an old one to the same question; others stay.
+        """
+        of = lambda kind: answered.where(F.col("kind") == kind)
+        yes = F.coalesce(F.col("answer") == "true", F.lit(False))
+        subject = F.col("subject")
+        columns = of("column").select("file", "sheet", subject.alias("role"), F.col("answer").alias("column"))
+        sheets = of("sheets").select("file", F.col("answer").alias("sheet"))
+        names = of("name").select("file", subject.alias("id"), yes.alias("answer"))
+        tokens = of("token").where(yes).select(subject.alias("token"))
+        clamps = of("clamp").select("file", "sheet", subject.alias("direction"), yes.alias("answer"))
+        return Decisions(
+            _merged(self.column_choices, columns, ["file", "sheet", "role"]),
+            _merged(self.sheet_selection, sheets, ["file"]),
+            _merged(self.name_decisions, names, ["file", "id"]),
+            _merged(self.absent_tokens, tokens, ["token"]),
+            _merged(self.clamp_choices, clamps, ["file", "sheet", "direction"]),
+        )
+
+
+def _merged(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
+    new = new.distinct()
+    return new if old is None else old.join(new, keys, "left_anti").select(*new.columns).unionByName(new)
+
 
 def pending_columns(sheets: DataFrame) -> DataFrame:
     """Roles with several candidate columns and no saved choice."""

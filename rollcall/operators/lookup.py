@@ -50,25 +50,21 @@ def is_small(df: DataFrame, limits: Limits) -> bool:
     return measured_bytes(df) <= limits.broadcast_bytes
 
 
-def are_small(tables: list[DataFrame], limits: Limits) -> bool:
-    """Whether each of several tables is small, measured in one job."""
+def which_small(tables: list[DataFrame | None], limits: Limits) -> list[bool]:
+    """Whether each of several tables is small, measured in one job; a missing one is."""
     sizes = None
-    for df in tables:
-        one = df.select(row_bytes(df).alias("size")).agg(F.sum("size").alias("size"))
-        sizes = one if sizes is None else sizes.unionByName(one)
-    if sizes is None:
-        return True
-    return (sizes.agg(F.max("size")).first()[0] or 0) <= limits.broadcast_bytes
+    for i, df in enumerate(tables):
+        if df is not None:
+            one = df.agg(F.lit(i).alias("i"), F.sum(row_bytes(df)).alias("size"))
+            sizes = one if sizes is None else sizes.unionByName(one)
+    found = {} if sizes is None else {r["i"]: r["size"] or 0 for r in sizes.collect()}
+    return [found.get(i, 0) <= limits.broadcast_bytes for i in range(len(tables))]
 
 
 def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer partitions than cores, such as a file of one
-    row group, which one task would otherwise carry through every lookup.
-
-    Large inputs have more splits than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Spread a source that the caller knows to be thin, such as a file of one row
+    group, which one task would otherwise carry through every lookup."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def hot_keys(df: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:

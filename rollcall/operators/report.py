@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.constants import SEVERITY
+from rollcall.operators.lookup import Limits, hot_keys, is_small, lookup
 
 
 def consolidated(members: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def row_issue_codes() -> Column:
     return F.concat("match_issues", F.array_compact(own))
 
 
-def row_issues(stated: DataFrame, files: DataFrame) -> DataFrame:
+def row_issues(stated: DataFrame, files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per issue of an observation, with the details that explain it."""
     detail = F.map_filter(
         F.create_map(
@@ -120,7 +121,10 @@ def row_issues(stated: DataFrame, files: DataFrame) -> DataFrame:
         F.col("file_ord").alias("source_ord"), F.col("file").alias("earlier")
     )
     found = stated.withColumn("codes", row_issue_codes()).where(F.size("codes") > 0)
-    found = found.join(earlier, "source_ord", "left")
+    # Most rows have no earlier claim and one file may have made most: never one task each.
+    small = is_small(earlier, limits)
+    hot = None if small else hot_keys(found, "source_ord", limits)
+    found = lookup(found, earlier, "source_ord", spread=F.col("ord"), small=small, hot=hot, limits=limits)
     return found.select(
         "file", "sheet", "ord", F.col("member").alias("id"),
         detail.alias("detail"), F.explode("codes").alias("code"),

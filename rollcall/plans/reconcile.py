@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from rollcall.operators import report
 from rollcall.operators.claims import first_claims, with_claim_state, with_value
 from rollcall.operators.decisions import Decisions, pending
-from rollcall.operators.lookup import Limits, are_small, fill_cores
+from rollcall.operators.lookup import Limits, fill_cores, which_small
 from rollcall.operators.match import match
 from rollcall.operators.roster import Roster, duplicate_rows, index_roster
 from rollcall.sources.staging import stage
@@ -73,7 +73,7 @@ class Reconciliation:
     @cached_property
     def issues(self) -> DataFrame:
         """Issues of files, sheets and rows; ``roster_issues`` has the roster's."""
-        found = report.row_issues(self.stated, self.files)
+        found = report.row_issues(self.stated, self.files, self.limits)
         for early in self.early_issues:
             found = found.unionByName(early, allowMissingColumns=True)
         return found
@@ -93,6 +93,7 @@ def reconcile(
     limits: Limits = Limits(),
     roster_small: bool | None = None,
     stage_rows: bool = False,
+    thin: bool = False,
 ) -> Reconciliation:
     """Resolve observations to members and keep the first claim of each.
 
@@ -100,21 +101,24 @@ def reconcile(
     see ``operators.match``, with sheet and value_raw. ``files``: file_ord,
     file. With ``stage_rows`` the matched rows are written once to the shared
     folder and read back, so that claims, report and issues do not match again.
+    ``thin`` tells that the observations come in fewer partitions than there are
+    cores; they are spread then.
     """
     roster = index_roster(roster_rows, limits, roster_small)
     if files is None:
         files = observations.select("file_ord", "file").distinct()
-    tables = [decisions.name_decisions, decisions.absent_tokens, decisions.clamp_choices]
-    small = are_small([t for t in tables if t is not None], limits)
+    names_small, tokens_small, clamps_small = which_small(
+        [decisions.name_decisions, decisions.absent_tokens, decisions.clamp_choices], limits
+    )
     matched = match(
-        fill_cores(observations), roster,
-        name_decisions=decisions.name_decisions, decisions_small=small, limits=limits,
+        fill_cores(observations) if thin else observations, roster,
+        name_decisions=decisions.name_decisions, decisions_small=names_small, limits=limits,
     )
     matched = with_value(
         matched,
         low=params.min_value, high=params.max_value, tokens=params.absent_tokens,
         token_table=decisions.absent_tokens, clamp_choices=decisions.clamp_choices,
-        decisions_small=small, limits=limits,
+        tokens_small=tokens_small, clamps_small=clamps_small, limits=limits,
     )
     if stage_rows:
         matched = stage(matched, "matched")

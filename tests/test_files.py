@@ -112,6 +112,23 @@ def test_saved_answers_settle_a_run(spark, tmp_path):
     assert [(r.kind, r.sheet) for r in got.pending.collect()] == [("column", "DC-2")]
 
 
+def test_answers_fold_back(spark, tmp_path):
+    put(tmp_path, "a.csv", [HEAD, ["00001", "Tomas", "Kellar", "21"], ["00002", "Hugo", "Sandoval", "15"], ["00003", "Hugo", "Sandoval", "—"]])
+    put(tmp_path, "b.csv", [["Numero", "Numero etudiant", "Note /23", "Note /20"], ["1", "00004", "18", "14"]])
+    book(tmp_path, "c.xlsx", {s: [HEAD, [i, n, "", "3"]] for s, i, n in (("S1", "00006", "Zélie"), ("S2", "00011", "Mila"))})
+    files, decisions = ["a.csv", "b.csv", "c.xlsx"], Decisions()
+    said = {"id": "Numero etudiant", "value": "Note /20", "00001": "true", "00002": "false", "—": "true", "above": "true", "": "S2"}
+    for _ in range(3):
+        got = run(spark, tmp_path, files, decisions=decisions, params=Params(max_value=20))
+        asked = got.pending.collect()
+        if not asked:
+            break
+        rows = [(r.kind, r.file, r.sheet, r.subject, said.get(r.subject, "true")) for r in asked]
+        decisions = decisions.with_answers(spark.createDataFrame(rows, "kind string, file string, sheet string, subject string, answer string"))
+    assert not asked
+    assert outcome(got) == {"00001": (20.0, "a.csv"), "00003": ("ABS", "a.csv"), "00004": (14.0, "b.csv"), "00011": (3.0, "c.xlsx")}
+
+
 def test_scans_of_many_encodings_and_layouts(spark, tmp_path):
     (tmp_path / "cp1252 ü.csv").write_bytes("Code d’élève;Note\n00001;15\n".encode("cp1252"))
     (tmp_path / "latin.csv").write_bytes(b"Pr\xe9nom,Note\n\x81,15\n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         # One run compiles more classes than the default cache of 100 holds.
         .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rollcall-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -49,6 +49,35 @@ def scan_csv_roundtrip(spark, sf):
     )
 
 
+# Cells with breaks, blank lines, quotes and delimiters, and records of over 131,072 characters.
+QUOTED = """
+select 'q' || lpad(cast(cast(floor(c_custkey / 40) as bigint) as string), 8, '0') || '.csv' as file,
+  cast(floor(c_custkey / 40) as bigint) as chunk, c_custkey as key, cast(c_custkey as string) as id,
+  c_name || chr(10) || chr(10) || '"' || c_mktsegment || '",;|' as first_name,
+  case when c_custkey % 40 = 7 then repeat(c_mktsegment || ' ', 15000) || chr(10) || 'end' else c_mktsegment || '" ' end as last_name,
+  cast(c_custkey % 20 as string) as val
+from customer
+"""
+
+
+@check("scan_quoted_breaks", f"select file, key, id, first_name, last_name, val from ({QUOTED})")
+def scan_quoted_breaks(spark, sf):
+    fx.register(spark, sf, "customer")
+    rows = spark.sql(QUOTED).select(
+        "file", F.lit("").alias("sheet"), F.lit("utf-8").alias("encoding"),
+        F.expr("element_at(array(',', ';', '\t', '|'), cast(chunk % 4 as int) + 1)").alias("delimiter"),
+        "key", F.array("id", "first_name", "last_name", "val").alias("cells"),
+    )
+    folder = new_inputs(spark, "quoted")
+    write_files(rows, [["Titre" + "\n" * 12, "", "", ""], HEAD], folder)
+    lines, _ = ff.scan(spark, list_inputs(spark, "/", folder=folder))
+    cell = lambda i: F.get("cells", F.lit(i))
+    return lines.where("row_idx >= 2").select(
+        F.regexp_extract("plain", "([^/]+)$", 1).alias("file"), cell(0).cast("bigint").alias("key"),
+        cell(0).alias("id"), cell(1).alias("first_name"), cell(2).alias("last_name"), cell(3).alias("val"),
+    )
+
+
 ORDERS = """
 select 'o' || lpad(cast(cast(floor(o_orderkey / 2000) as bigint) as string), 8, '0') || '{0}' as file,
   o_orderpriority as sheet, o_orderkey as key, 'R' || cast(o_orderkey as string) as id,

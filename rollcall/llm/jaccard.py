@@ -1,12 +1,16 @@
 """Exact Jaccard join of documents on word shingles (operator 5).
 
-1. Documents with equal shingle sets form a class; one member stands for it.
+1. Documents with equal shingle sets form a class, named by a 64-bit digest.
 2. PartEnum: two sets of one band of sizes that are similar enough differ in at
    most k shingles. The domain of shingles is cut into n1 parts of n2 parts each,
    n1 so large that one of the first has at most one difference, so two of its
    three second parts agree in full. Each set emits the digest of every such pair
-   of parts, for its own band and the next one; similar sets share one.
-3. Buckets of few sets give their pairs, which are checked on the whole sets.
+   of parts, for its own band and the next one; similar sets share one. There are
+   a few more first parts than that needs, so that a set with few empty pairs need
+   not emit those, which very many sets would share.
+3. Buckets of few sets give their pairs. Counts of shingles over 64 cells bound the
+   differences of two sets from below; pairs within the limit are checked on the
+   whole sets.
 4. Larger buckets whose members are not connected by then are compared in blocks
    inside tasks, which put out links that connect, not pairs.
 5. Connected components over all links.
@@ -23,16 +27,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
 from rollcall.llm.tables import narrow, slices, stage
+from rollcall.operators.lookup import Limits, is_small
 
 #: Sets of a bucket up to which all its pairs are checked one by one.
 FEW = 6
 #: Shingles of a block, and signatures of one part of the exchange, about.
-BLOCK, PART = 150_000, 400_000
+BLOCK, PART = 500_000, 1_000_000
 _ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -74,6 +79,15 @@ def differences(percent: int, end: int) -> int:
     return 2 * end * (100 - percent) // (100 + percent)
 
 
+def first_parts(percent: int, end: int) -> tuple[int, int]:
+    """Number of first parts of a band, and how many of them are spare: none where
+    sets are so large for their differences that hardly any pair is empty."""
+    n1 = differences(percent, end) // 2 + 1
+    least = end * percent * percent // 10_000
+    spare = n1 // 8 if 3 * n1 * np.exp(-2 * least / (3 * n1)) > 0.05 else 0
+    return n1 + spare, spare
+
+
 _ENDS: dict[int, np.ndarray] = {}
 
 
@@ -88,15 +102,21 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
         k = differences(percent, int(ends[band]))
         if k == 0:
             continue  # such sets are equal, thus in one class
-        n1 = k // 2 + 1
+        n1, spare = first_parts(percent, int(ends[band]))
         part = ((spread >> np.uint64(32)) * np.uint64(3 * n1)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + _ONE)[order])])
         edges = np.searchsorted(part[order], np.arange(3 * n1 + 1, dtype=np.uint64))
         held = (sums[edges[1:]] - sums[edges[:-1]]).reshape(n1, 3)
         pairs = held.sum(1, dtype=np.uint64)[:, None] - held
+        size = np.diff(edges).reshape(n1, 3)
+        filled = size.sum(1)[:, None] - size > 0
         places = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + np.uint64(band << 32)
-        out.append(mix(pairs + mix(places)).ravel())
+        found = mix(pairs + mix(places))
+        # At least spare + 1 first parts have a pair that agrees. If no more than
+        # spare have an empty pair, one of the others tells.
+        enough = (~filled.all(1)).sum() <= spare
+        out.append(found[filled] if enough else found.ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -104,54 +124,104 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
     return 100 * common >= percent * (a + b - common)
 
 
+def digest(grams: np.ndarray) -> int:
+    """Name of a class of equal sets."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams) & 0xFFFFFFFF) - (1 << 63)
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Shingles by cell, at most 255: two sets differ at least as much as their counts."""
+    return np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8)
+
+
 def _profile(src: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, hi, lo``: size and 128-bit digest of each document's set."""
+    """``doc_id, n, node, sketch``: size, class and counts of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                n, hi, lo = [], [], []
-                for t in b.column("text").to_pylist():
-                    g = shingles(t, words)
-                    d = xxhash.xxh3_128_intdigest(g.tobytes())
-                    n.append(len(g))
-                    hi.append((d >> 64) - (1 << 63))
-                    lo.append((d & ((1 << 64) - 1)) - (1 << 63))
+                sets = [shingles(t, words) for t in b.column("text").to_pylist()]
                 yield pa.record_batch(
-                    [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
-                    ["doc_id", "n", "hi", "lo"],
+                    [b.column("doc_id"), pa.array([len(g) for g in sets], pa.int64()),
+                     pa.array([digest(g) for g in sets], pa.int64()),
+                     pa.array([sketch(g).tobytes() for g in sets], pa.binary())],
+                    ["doc_id", "n", "node", "sketch"],
                 )
 
-    return src.mapInArrow(run, "doc_id long, n long, hi long, lo long")
+    return src.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+
+
+def _within(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and sketches allow to link: none that links is left out."""
+    a = sizes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    b = sizes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int32) for c in "xy")
+            most = (100 - percent) * (t.column("n").to_numpy() + t.column("m").to_numpy())
+            keep = np.abs(x - y).sum(1) * (100 + percent) <= most
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _of(src: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of some documents: a join that streams the texts and sorts none."""
-    return src.join(nodes.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+def _among(docs: DataFrame, name: Column, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose id is, or isn't, among ``ids`` (one column ``_id``): ids of a
+    checked size are sent to the texts, more are joined without sorting the texts."""
+    sent = F.broadcast(ids) if is_small(ids, Limits()) else ids.hint("shuffle_hash")
+    return docs.join(sent, name == F.col("_id"), how)
+
+
+def _encode(part: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Signatures by part: each part's nodes, how many signatures each has, and these.
+
+    A node's signatures follow each other, so it is written once: 9 to 12 bytes a signature."""
+    order = np.argsort(part, kind="stable")
+    part, node, sig = part[order], node[order], sig[order]
+    run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (node[1:] != node[:-1])]))
+    counts = np.diff(np.append(run, len(sig))).astype("<u4")
+    parts, at = np.unique(part, return_index=True)
+    ends, runs = np.append(at, len(sig)), np.searchsorted(run, np.append(at, len(sig)))
+    blobs = [
+        np.array([hi - lo], "<u4").tobytes() + node[run[lo:hi]].tobytes() + counts[lo:hi].tobytes() + sig[s:e].tobytes()
+        for lo, hi, s, e in zip(runs[:-1], runs[1:], ends[:-1], ends[1:], strict=True)
+    ]
+    return parts, blobs
+
+
+def _decode(blob: bytes) -> np.ndarray:
+    """Rows of signature and node."""
+    k = int.from_bytes(blob[:4], "little")
+    node = np.frombuffer(blob[4 : 4 + 8 * k], np.uint64)
+    counts = np.frombuffer(blob[4 + 8 * k : 4 + 12 * k], "<u4")
+    return np.stack([np.frombuffer(blob[4 + 12 * k :], np.uint64), np.repeat(node, counts)], 1)
 
 
 def _buckets(texts: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """``a, b`` of small buckets, and ``sig, a`` of the members of larger ones."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Signatures go out in blocks for one part each: 16 bytes a signature.
         held_s, held_n, held = [], [], 0
+        seen: set[int] = set()  # copies within a task send nothing twice
 
         def flush() -> pa.RecordBatch:
             sig, node = np.concatenate(held_s), np.concatenate(held_n)
-            to = (sig % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            rows = np.stack([sig[order], node[order].view(np.uint64)], 1)
-            part, at = np.unique(to[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(rows, at[1:])]
-            return pa.record_batch([pa.array(part), pa.array(blobs, pa.binary())], ["part", "rows"])
+            to, blobs = _encode((sig % np.uint64(parts)).astype(np.int64), node.view(np.uint64), sig)
+            return pa.record_batch([pa.array(to), pa.array(blobs, pa.binary())], ["part", "rows"])
 
         for whole in batches:
             for b in slices(whole, "text"):
                 for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    s = signatures(shingles(t, words), percent)
+                    g = shingles(t, words)
+                    node = digest(g)
+                    if i is None or not len(g) or node in seen:
+                        continue
+                    seen.add(node)
+                    s = signatures(g, percent)
                     held_s.append(s)
-                    held_n.append(np.full(len(s), i, np.int64))
+                    held_n.append(np.full(len(s), node, np.int64))
                     held += len(s)
                 if held > 1_500_000:
                     yield flush()
@@ -164,17 +234,17 @@ def _buckets(texts: DataFrame, words: int, percent: int, parts: int) -> DataFram
         size: dict[int, int] = {}
         done: dict[int, set] = {}
         for b in batches:
-            for part, rows in zip(b.column("part").to_pylist(), b.column("rows"), strict=True):
-                x = np.frombuffer(rows.as_buffer(), np.uint64).reshape(-1, 2)
-                held.setdefault(part, []).append(x.copy())
+            for part, rows in zip(b.column("part").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                x = _decode(rows)
+                held.setdefault(part, []).append(x)
                 size[part] = size.get(part, 0) + len(x)
-                if size[part] > 10 * PART:
-                    # Far more than a part should have: large buckets go out at once.
+                if size[part] > 4 * PART:
+                    # More than a part should have: copies fall together, large buckets go out at once.
                     rest, out = _split(held[part], done.setdefault(part, set()))
                     held[part], size[part] = [rest], len(rest)
                     yield from out
-        for part, xs in held.items():
-            yield from _split(xs, done.get(part, set()), last=True)[1]
+        for part in list(held):
+            yield from _split(held.pop(part), done.get(part, set()), last=True)[1]
 
     sent = texts.mapInArrow(emit, "part long, rows binary")
     return sent.repartition(parts, "part").mapInArrow(meet, "sig long, a long, b long")
@@ -218,8 +288,11 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                sets = [shingles(t, words).tobytes() for t in b.column("text").to_pylist()]
-                yield pa.record_batch([b.column("doc_id"), pa.array(sets, pa.binary())], ["node", "grams"])
+                sets = [shingles(t, words) for t in b.column("text").to_pylist()]
+                yield pa.record_batch(
+                    [pa.array([digest(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())],
+                    ["node", "grams"],
+                )
 
     return texts.mapInArrow(run, "node long, grams binary")
 
@@ -327,30 +400,36 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 
     Texts without words, null or empty, have no shingle and a class of their own;
     rows with a null id keep a null class and link nothing; rows that repeat an id
-    count as one document in links. Ids are whole numbers; extra columns are
-    dropped; empty tables give empty results.
+    with another text are documents of their own in links. Ids are whole numbers;
+    extra columns are dropped; empty tables give empty results.
     """
     src = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = stage(_profile(src, words), "jaccard_sets")
     some = rows.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"))
-    total = some.agg(F.sum("n")).first()[0] or 0
-    parts = max(12, int(total * 0.35 / PART))
-    reps = classes.select(F.col("class_id").alias("doc_id"))
-    met = stage(_buckets(_of(src, reps), words, percent, parts), "jaccard_buckets")
-    pairs = stage(met.filter("b is not null").select("a", "b").distinct(), "jaccard_pairs")
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    # Signatures of a set of n: three for each two differences, for two bands.
+    total = (some.agg(F.sum("n")).first()[0] or 0) * 6.75 * (100 - percent) / (100 + percent)
+    parts = max(24, int(total / PART))
+    met = stage(_buckets(src, words, percent, parts), "jaccard_buckets")
+    sizes = stage(some.select("node", "n", "sketch").dropDuplicates(["node"]), "jaccard_sizes")
+    pairs = met.filter("b is not null").select("a", "b").distinct()
+    pairs = stage(_within(pairs, sizes, percent), "jaccard_pairs")
     members = met.filter("b is null").select("sig", "a").distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(
-        members.select(F.col("a").alias("doc_id"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
+        members.select(F.col("a").alias("node"))
     ).distinct()
-    sets = _sets(_of(src, wanted), words).dropDuplicates(["node"])
-    sets = stage(sets, "jaccard_grams")
+    ids = stage(classes.join(wanted, "node", "left_semi").select(F.col("class_id").alias("_id")).distinct(), "jaccard_wanted")
+    found = _sets(_among(src, F.col("doc_id"), ids, "left_semi"), words).dropDuplicates(["node"])
+    sets = stage(found, "jaccard_grams")
     near = stage(_check(pairs, sets, percent), "jaccard_links")
     far = stage(_large(members, sets, near, percent), "jaccard_far")
-    out = rows.join(classes, ["hi", "lo"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
-    )
-    return out, near.unionByName(far)
+    links = near.unionByName(far)
+    for c in ("a", "b"):
+        links = links.join(classes.withColumnRenamed("node", c), c).drop(c).withColumnRenamed("class_id", c)
+    whole = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("doc_id").isNotNull(), whole).alias("class_id")
+    out = rows.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own)
+    return out, stage(links, "jaccard_class_links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -373,13 +452,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     an id one stays.
     """
     found = stage(near_duplicates(docs, words, percent, id_col, text_col).select("doc_id", "component_id"), "jaccard_found")
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
+    kept = F.count_if(F.col("doc_id") == F.col("component_id"))
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(kept.alias("kept"), F.count("*").alias("rows"))
+    ids = stage(ids.filter("kept = 0 or rows > 1").withColumnRenamed("doc_id", "_id"), "jaccard_ids")
     name = F.col("`" + id_col.replace("`", "``") + "`")
-
-    def of(ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")
-        return docs.join(ids, name.cast("long") == F.col("_kept"), "left_semi")
-
-    once = of(kept.filter("count = 1"))
-    again = of(kept.filter("count > 1")).dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.filter(name.isNull()))
+    once = _among(docs, name.cast("long"), ids.select("_id"), "left_anti")
+    again = ids.filter("kept > 0").select("_id")
+    if again.isEmpty():
+        return once
+    return once.unionByName(_among(docs, name.cast("long"), again, "left_semi").dropDuplicates([id_col]))

@@ -34,9 +34,8 @@ def brute(rows, words, percent):
     links = 0
     for i in range(len(rows)):
         for j in range(i):
-            same_id = rows[i][0] == rows[j][0]
             union = len(sets[i] | sets[j])
-            if sets[i] and sets[j] and (same_id or 100 * len(sets[i] & sets[j]) >= percent * union):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * union:
                 links += 1
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)

@@ -3,12 +3,17 @@
 Tokens of a page are its elements, told apart by their path, and its texts, told
 apart by path and words. Over all pages of a host every token has an occurrence
 vector: how often it occurs in each page. Tokens of equal vector form an
-equivalence class; a class of several tokens on nearly all pages is part of the
-template. Its elements nest by their paths, its texts are fixed furniture, and what
-varies between them are slots. The slot of the article is the article or main
-element where there is one, else the innermost template element that holds most of
-the host's text. Menus, headers, footers, sidebars, notices, adverts, forms and
-comments are told by their elements and names and dropped everywhere.
+equivalence class; a class of several tokens (an element has two, its begin and end)
+on several pages is part of the template of the pages it is on, so each type of page
+of a host has classes of its own. Texts of a class that are wherever their element
+is are fixed furniture. Elements of a class that hold most of the text of their
+pages may be the slot of the article. Those nest by their paths: the innermost one
+of a page is its slot, unless an article or main element among them breaks the tie.
+Article and main elements decide alone on hosts of few pages, and on pages of which
+the classes know no more than html and body; such elements that are on several
+pages and hold less than half of their text are teasers and never decide.
+Menus, headers, footers, sidebars, notices, adverts, forms and comments are told by
+their elements and names and dropped everywhere.
 
 Vectors are summed digests, so a host of any size is a sum that every task begins
 on its own.
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.tables import narrow, slices, stage
 from rollcall.llm.urls import host_of
 
-#: Pages of a host from which its template counts, tokens of a class, share of pages.
+#: Pages from which a class counts, tokens of a class, share of an element's pages or of text.
 MIN_PAGES, MIN_CLASS, MIN_SHARE = 8, 3, 0.9
 #: Words up to which a text inside the article can be template furniture.
 FURNITURE = 12
@@ -59,6 +64,8 @@ FURNITURE_NAMES = frozenset(
     "share sharing social footer masthead header newsletter subscribe subscription signup login search widget widgets "
     "popup modal overlay toolbar pagination pager skip tags meta byline form".split()
 )
+#: What an element is to the choice of the slot.
+TEASER, FRAME, PLAIN, MAIN, ARTICLE = range(-1, 4)
 MAIN_NAMES = frozenset("main article articlebody post entry content story".split())
 
 _TAG = re.compile(
@@ -84,6 +91,7 @@ class Block:
 class Page:
     blocks: list[Block] = field(default_factory=list)
     elements: dict[int, int] = field(default_factory=dict)  # path -> times
+    marks: dict[int, int] = field(default_factory=dict)  # path -> FRAME to ARTICLE
 
 
 def _names(attributes: str) -> tuple[str, set[str]]:
@@ -169,6 +177,8 @@ def parse(html: str) -> Page:
         if name not in INLINE and name != "p":
             path = xxhash.xxh3_64_intdigest(f"{name}.{styles}", path) >> 1
             page.elements[path] = page.elements.get(path, 0) + 1
+            mark = FRAME if name in ("html", "body") else PLAIN if own_rank <= rank else (MAIN, ARTICLE)[own_rank - 1]
+            page.marks[path] = max(page.marks.get(path, FRAME), mark)
         if gone and not dropped and name not in INLINE:
             flush()
         elif gone and not dropped:
@@ -179,18 +189,21 @@ def parse(html: str) -> Page:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by host and token: pages, digest of the occurrence vector, characters inside."""
+    """Sums by host and token: pages, digest of the occurrence vector, characters inside
+    and on its pages; the mark of an element, the path of a text."""
     for whole in batches:
         for b in slices(whole, "html"):
             sums: dict[tuple[str, int, int], list[int]] = {}
 
-            def add(host: str, kind: int, token: int, n: int, key: int, chars: int) -> None:
-                s = sums.setdefault((host, kind, token), [0, 0, 0, 0])  # noqa: B023
+            def add(host: str, kind: int, token: int, n: int, key: int, chars: int, total: int, about: int) -> None:
+                s = sums.setdefault((host, kind, token), [0, 0, 0, 0, 0, about])  # noqa: B023
                 v = xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), key)
                 s[0] += 1
                 s[1] += v & 0x3FFFFFFF
                 s[2] += (v >> 30) & 0x3FFFFFFF
                 s[3] += chars
+                s[4] += total
+                s[5] = max(s[5], about)
 
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 if not host:
@@ -198,58 +211,99 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 page, key = parse(html or ""), xxhash.xxh3_64_intdigest(html or "")
                 inside: dict[int, int] = {}
                 texts: dict[int, int] = {}
+                paths: dict[int, int] = {}
                 for block in page.blocks:
                     texts[block.token] = texts.get(block.token, 0) + 1
+                    paths[block.token] = block.path
                     for path in block.around:
                         inside[path] = inside.get(path, 0) + len(block.text)
-                add(host, 0, 0, 1, key, inside.get(0, 0))
+                total = inside.get(0, 0)
+                add(host, 0, 0, 1, key, total, total, 0)
                 for path, n in page.elements.items():
-                    add(host, 1, path, n, key, inside.get(path, 0))
+                    add(host, 1, path, n, key, inside.get(path, 0), total, page.marks[path])
                 for token, n in texts.items():
-                    add(host, 2, token, n, key, 0)
+                    add(host, 2, token, n, key, 0, 0, paths[token])
             keys = list(sums)
             yield pa.record_batch(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
                  pa.array([k[2] for k in keys], pa.int64()),
-                 *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(4))],
-                ["host", "kind", "token", "pages", "v", "w", "chars"],
+                 *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(6))],
+                ["host", "kind", "token", "pages", "v", "w", "chars", "total", "about"],
             )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, slot, texts``: the template of each host with at least ``MIN_PAGES`` pages.
+    """``host, slots, texts``: the template of each host with at least ``MIN_PAGES`` pages.
 
-    ``pages`` has ``host`` and ``html``. ``slot`` is the innermost template element
-    that holds more than half of the text outside furniture, ``texts`` are the
-    template's fixed texts; both as digests. At most some hundred per host.
+    ``pages`` has ``host`` and ``html``. ``slots`` are ``(token, mark, share)`` of the
+    elements of classes that hold more than half of the text of the pages they are
+    on, and of teasers; ``texts`` are fixed texts. Tokens are digests. Each is on
+    ``MIN_PAGES`` pages or more.
     """
     sums = pages.select("host", "html").mapInArrow(
-        _tokens, "host string, kind int, token long, pages long, v long, w long, chars long"
-    ).groupBy("host", "kind", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "v", "w", "chars")))
-    sums = stage(sums, "page_tokens")
-    hosts = sums.filter((F.col("kind") == 0) & (F.col("pages") >= MIN_PAGES)).select(
-        "host", F.col("pages").alias("all"), F.col("chars").alias("text")
+        _tokens, "host string, kind int, token long, pages long, v long, w long, chars long, total long, about long"
+    ).groupBy("host", "kind", "token").agg(
+        *(F.sum(c).alias(c) for c in ("pages", "v", "w", "chars", "total")), F.max("about").alias("about")
     )
-    # Only tokens on nearly all pages go on: no more of them than one page has.
-    common = sums.filter(F.col("pages") >= MIN_PAGES).join(hosts, "host").filter(F.col("pages") >= MIN_SHARE * F.col("all"))
+    sums = stage(sums.filter(F.col("pages") >= MIN_PAGES), "page_tokens")
     alike = Window.partitionBy("host", "pages", "v", "w")
-    valid = common.withColumn("size", F.count("*").over(alike)).filter(F.col("size") >= MIN_CLASS)
-    slot = (F.col("kind") == 1) & (F.col("chars") * 2 > F.col("text"))
-    # Of nested elements the inner one holds no more text than the outer.
-    return valid.groupBy("host").agg(
-        F.min_by(F.when(slot, F.col("token")), F.when(slot, F.struct("chars", "token"))).alias("slot"),
-        F.collect_set(F.when(F.col("kind") == 2, F.col("token"))).alias("texts"),
+    known = sums.filter("kind > 0").withColumn("size", F.sum(F.when(F.col("kind") == 1, 2).otherwise(1)).over(alike))
+    valid = F.col("size") >= MIN_CLASS
+    most = F.col("chars") * 2 > F.col("total")
+    elements = known.filter("kind = 1")
+    slot = F.when(most & valid, F.col("about")).when(~most & (F.col("about") >= MAIN), TEASER)
+    slots = elements.withColumn("mark", slot.cast("int")).filter("mark is not null").select(
+        "host", F.struct("token", "mark", (F.col("chars") / F.greatest("total", F.lit(1))).alias("share")).alias("slot"),
+        F.lit(None).cast("long").alias("text"),
+    )
+    # A text outside all elements has path 0, which is on every page.
+    around = sums.filter("kind < 2").select("host", F.col("token").alias("about"), F.col("pages").alias("all"))
+    texts = known.filter((F.col("kind") == 2) & valid).join(around, ["host", "about"]).filter(
+        F.col("pages") >= MIN_SHARE * F.col("all")
+    ).select("host", F.lit(None).cast(slots.schema["slot"].dataType).alias("slot"), F.col("token").alias("text"))
+    return slots.unionByName(texts).groupBy("host").agg(
+        F.collect_list("slot").alias("slots"), F.collect_set("text").alias("texts")
     )
 
 
-def main_text(html: str, slot: int | None = None, texts: frozenset[int] = frozenset()) -> str:
-    """The article's text of one page, given the template of its host."""
-    blocks = parse(html).blocks
-    top = max((b.rank for b in blocks), default=0)
-    if top:
-        blocks = [b for b in blocks if b.rank == top]
-    elif slot and any(slot in b.around for b in blocks):
-        blocks = [b for b in blocks if slot in b.around]
+def _slot(blocks: list[Block], slots: dict[int, tuple[int, float]]) -> int | None:
+    """The path of the article's slot on a page, by the classes of its host."""
+    inside: dict[int, int] = {}
+    above: dict[int, tuple[int, ...]] = {}
+    for b in blocks:
+        for i, path in enumerate(b.around):
+            if slots.get(path, (TEASER,))[0] >= FRAME:
+                inside[path] = inside.get(path, 0) + len(b.text)
+                above[path] = b.around[:i]
+    best = {m: max((p for p in inside if slots[p][0] == m), key=lambda p: (inside[p], p), default=None) for m in (MAIN, ARTICLE)}
+    main, article = best[MAIN], best[ARTICLE]
+    if main and article:
+        # An article that leaves text of the main element out is only a part of it.
+        return article if slots[article][1] >= MIN_SHARE * slots[main][1] else main
+    at = article or main
+    if at is None:
+        inner = list(inside)
+        while inner:  # down the branch with most text
+            at = max(inner, key=lambda p: (inside[p], -len(above[p]), p))
+            inner = [p for p in inner if at in above[p]]  # noqa: B023
+    return at
+
+
+def main_text(html: str, slots: dict[int, tuple[int, float]] | None = None, texts: frozenset[int] = frozenset()) -> str:
+    """The article's text of one page, given the template of its host: slots as path to ``(mark, share)``."""
+    blocks, slots = parse(html).blocks, slots or {}
+    at = _slot(blocks, slots)
+    mark = FRAME if at is None else slots[at][0]
+    if at is not None:
+        blocks = [b for b in blocks if at in b.around]
+    if mark <= PLAIN:
+        # Article and main elements that the classes don't know: of rare types of pages or hosts of few.
+        teasers = {p for p, (m, _) in slots.items() if m == TEASER}
+        own = [b for b in blocks if teasers.isdisjoint(b.around)] if teasers else blocks
+        top = max((b.rank for b in own), default=0)
+        tagged = [b for b in own if b.rank == top] if top else []
+        if tagged and (mark == FRAME or 2 * sum(len(b.text) for b in tagged) > sum(len(b.text) for b in blocks)):
+            blocks = tagged
     return " ".join(b.text for b in blocks if b.token not in texts or len(b.text.split()) > FURNITURE)
 
 
@@ -264,21 +318,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     src = narrow(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
     found = stage(templates(src), "page_templates")
-    size = found.agg(F.sum(F.length("host") + 8 * (F.size("texts") + 1))).first()[0] or 0
-    found = found.select(F.col("host").alias("_host"), "slot", "texts")
+    size = found.agg(F.sum(F.length("host") + 8 * F.size("texts") + 20 * F.size("slots"))).first()[0] or 0
+    found = found.select(F.col("host").alias("_host"), "slots", "texts")
     held = src.join(F.broadcast(found) if size <= SENT else found, F.col("host") == F.col("_host"), "left")
     kind = dict(src.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "html"):
-                rows = zip(*(b.column(c).to_pylist() for c in ("html", "slot", "texts")), strict=True)
-                out = [main_text(h or "", s, frozenset(t or ())) for h, s, t in rows]
+                rows = zip(*(b.column(c).to_pylist() for c in ("html", "slots", "texts")), strict=True)
+                out = [main_text(h or "", {x["token"]: (x["mark"], x["share"]) for x in s or ()}, frozenset(t or ()))
+                       for h, s, t in rows]
                 yield pa.record_batch(
                     [b.column("page_id"), b.column("url"), pa.array(out, pa.string()),
                      pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"],
                 )
 
-    return held.select("page_id", "url", "html", "slot", "texts").mapInArrow(
+    return held.select("page_id", "url", "html", "slots", "texts").mapInArrow(
         run, f"page_id {kind}, url string, text string, n_chars long"
     )

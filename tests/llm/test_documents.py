@@ -145,6 +145,28 @@ def test_template_finds_slot_and_furniture(spark):
     assert out["n_chars"] == len(out["text"]) and out["url"] == "http://h.example/3"
 
 
+def test_slot_by_classes_not_tag_names(spark):
+    words = lambda i, k: " ".join(f"s{i}w{j}" for j in range(k))
+    card = "<article class=card><h3>Read too</h3><p>{}</p></article>"
+    kinds = {  # two types of pages on one host, teasers in article elements beside both
+        "a": lambda i: f"<div class=wrap><div class=story><h1>A{i}</h1><p>{words(i, 30)}</p></div>{card.format(words(i + 999, 4))}</div>",
+        "b": lambda i: f"<main><section><h1>B{i}</h1><p>{words(i, 30)}</p></section></main>{card.format(words(i + 999, 4))}",
+        # text in main outside the article, and articles of varying number beside text right in the body
+        "m": lambda i: f"<main><p>M{i} {words(i, 14)}</p><article><p>{words(i + 50, 20)}</p></article></main>",
+        "t": lambda i: f"<p>T{i} {words(i, 30)}</p>" + card.format(words(i + 999, 4)) * (1 + i % 3),
+    }
+    host = {"a": "two", "b": "two", "m": "m", "t": "t"}
+    rows = [(f"{k}{i}", f"http://{host[k]}.example/{k}{i}", f"<html><body>{make(i)}</body></html>") for k, make in kinds.items() for i in range(12)]
+    rows.append(("rare", "http://two.example/r", f"<html><body><p>outside</p><article class=x>{words(7, 9)}</article></body></html>"))
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for i in range(12):
+        assert got[f"a{i}"] == f"A{i} {words(i, 30)}"
+        assert got[f"b{i}"] == f"B{i} {words(i, 30)}"
+        assert got[f"m{i}"] == f"M{i} {words(i, 14)} {words(i + 50, 20)}"
+        assert got[f"t{i}"].startswith(f"T{i} {words(i, 30)}")
+    assert got["rare"] == words(7, 9)
+
+
 def junk(rng, k):
     return [" | ".join(f"c{rng.randrange(99)}" for _ in range(60)), "BUY!! " * 80, "same " * 90, "a&&& b%%% c$$$ " * 30][k % 4]
 

@@ -2,7 +2,9 @@
 
 One pattern finds e-mail addresses, IP addresses, phone, card, social-security and
 bank account numbers and dates; numbers and dates count only if they are valid
-(check digits, ranges, calendar). Each is replaced within its format by a keyed
+(check digits, ranges, calendar). Card and account numbers are looked for at every
+place and in every grouping first, and only those of right check digits go into the
+text's pattern, so an invalid run never hides a valid number in it. Each is replaced within its format by a keyed
 permutation, a Feistel network over its digits or its place in the range of
 valid values, so equal values get equal pseudonyms in every document and
 different ones never meet. Separators stay; check digits are computed anew.
@@ -32,6 +34,40 @@ KINDS = {
     r"|(?<![0-9(-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|-[0-9])",
 }
 PATTERN = "|".join(KINDS.values())
+
+
+def _groups(*sizes: int) -> str:
+    return "[ -]".join(f"[0-9]{{{n}}}" for n in sizes)
+
+
+#: Groupings of cards. Those of one line never fit at one place together; any other grouping counts where no digit is beside.
+CARDS = (
+    "|".join((_groups(4, 4, 4, 4), _groups(4, 6, 5), _groups(4, 6, 4), _groups(8, 8), _groups(6, 13), "[0-9]{13,19}")),
+    "|".join((_groups(4, 4, 4, 4, 3), _groups(4, 4, 5))),
+)
+ANY_CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
+#: Length of an account code by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int, lands: str) -> str:
+    whole, rest = divmod(length - 4, 4)
+    tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}{tail}"
+
+
+#: Codes of the countries known, and of others as long as they go.
+ACCOUNTS = (
+    "(?<![A-Za-z0-9])(?=((?:" + "|".join(_account(n, c) for n, c in LENGTHS.items()) + ")(?![A-Za-z0-9])))",
+    "(?<![A-Za-z0-9])(?!" + "|".join(" ".join(LENGTHS.values()).split()) + ")(?=("
+    + KINDS["iban"].removeprefix("(?<![A-Za-z0-9])") + "))",
+)
+NEVER = "(?!)"
 #: Days from 1900-01-01 to 2099-12-31: 17 x 4297.
 _DAYS, _PARTS = 73049, (17, 4297)
 
@@ -200,13 +236,64 @@ def pseudonym(hit: Column, key: str) -> Column:
     return out
 
 
+def _valid(text: Column, patterns: tuple[str, ...], group: int, good: Callable[[Column], Column]) -> Column:
+    """The different hits that are good, those of the first patterns first."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(group)) for p in patterns]
+    return F.filter(F.array_distinct(F.concat(*found)), good)
+
+
+def _card_numbers(text: Column) -> Column:
+    good = lambda c: _luhn(_digits(c)) % 10 == 0
+    grouped = _valid(text, tuple(f"(?<![0-9])(?=((?:{p})(?![0-9])))" for p in CARDS), 1, good)
+    return F.concat(grouped, _valid(text, (ANY_CARD,), 0, good))
+
+
+def _accounts(text: Column) -> Column:
+    def good(c: Column) -> Column:
+        code = F.replace(c, F.lit(" "), F.lit(""))
+        return F.length(code).between(15, 34) & (_mod97(code) == 1)
+
+    return _valid(text, ACCOUNTS, 1, good)
+
+
+#: Up to 15 digits follow a plus; none of them begins a card number, a date or a social-security number.
+_PLUS = (
+    r"(?<![0-9+])\+1[ .-]?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?(?!",
+    "|" + KINDS["date"] + "|" + KINDS["ssn"] + "|" + KINDS["ip"]
+    + r")[0-9]{2,4}){2,4}(?![0-9])(?<!" + 15 * "[0-9][ .()-]{0,2}" + "[0-9])",
+)
+_LOCAL = KINDS["phone"].split("|(?<!", 1)[1]
+
+
+def _pattern(cards: Column, accounts: Column) -> Column:
+    """The pattern of one text, given its valid card and account numbers."""
+    either = lambda a, before, after: F.when(F.size(a) > 0, F.concat(
+        F.lit(before + "(?:"), F.array_join(a, "|"), F.lit(")" + after))).otherwise(F.lit(NEVER))
+    card = either(cards, "(?<![0-9])", "(?![0-9])")
+    return F.concat(
+        F.lit(KINDS["email"] + "|"), either(accounts, "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"),
+        F.lit("|" + "|".join(KINDS[k] for k in ("ip", "date", "ssn")) + "|" + _PLUS[0] + "|" + _PLUS[1]), card,
+        F.lit(_PLUS[2] + "|(?<!" + _LOCAL + "|"), card,
+    )
+
+
+def _replaced(text: Column, pattern: Column, key: str) -> Column:
+    # split() wants its pattern as text or column, the same one as for the hits.
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    mixed = F.zip_with(F.split(text, pattern, -1), hits, lambda a, h: F.concat(a, F.coalesce(pseudonym(h, key), F.lit(""))))
+    return F.array_join(mixed, "")
+
+
 def pseudonymise(text: Column, key: str) -> Column:
     """The text with pseudonyms in place of personal data; all else stays byte for byte."""
-    between = F.split(text, PATTERN, -1)
-    hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    mixed = F.zip_with(between, hits, lambda a, h: F.concat(a, F.coalesce(pseudonym(h, key), F.lit(""))))
+    # Arrays of one, so that the numbers are looked for once.
+    long = text.rlike("[0-9](?:[ -]?[0-9]){12}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+    pattern = F.when(long, _pattern(_card_numbers(text), _accounts(text))).otherwise(
+        _pattern(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    out = F.transform(F.array(pattern), lambda p: _replaced(text, p, key))[0]
     # A digit is in all but e-mail addresses, which have their own sign.
-    return F.when(text.rlike("[0-9@]"), F.array_join(mixed, "")).otherwise(text)
+    return F.when(text.rlike("[0-9@]"), out).otherwise(text)
 
 
 def mask_documents(docs: DataFrame, key: str = "rollcall", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,25 @@ def test_same_value_in_any_form_is_linked(spark):
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "4" + "1" * 15
 
 
+def test_numbers_beside_others(spark):
+    card, iban, phones = "4111 1111 1111 1111", "BE68 5390 0754 7034", ("415-555-2671", "415-555-2672")
+    alone = dict(zip((card, iban, *phones, "378282246310005"), masked(spark, [card, iban, *phones, "378282246310005"]), strict=True))
+    assert all(k != v for k, v in alone.items())
+    around = ["{} 12/27", "{} 123", "3 {}", "12 {} 7", "{} IS", "NO {} 12 AB", "{}, 2020", "id 77 {} 4111 1111 1111 1112"]
+    texts = [(form, x) for form in around for x in (card, iban, "378282246310005")]
+    for (form, x), got in zip(texts, masked(spark, [form.format(x) for form, x in texts]), strict=True):
+        assert got == form.format(alone[x])
+    mixed = [f"{phones[0]} {phones[1]}", f"{phones[0]} {card}", f"{card} {phones[1]}", f"{iban} {card}", f"{card} {iban} OK", f"{card} {card}"]
+    wanted = [m.replace(card, alone[card]).replace(iban, alone[iban]).replace(phones[1], alone[phones[1]]).replace(phones[0], alone[phones[0]])
+              for m in mixed]
+    assert masked(spark, mixed) == wanted
+    got = masked(spark, [f"+1 415 555 2671 {card}", f"+44 20 7946 0958 {card}", "+44 20 7946 0958 2020-02-29", "+44 20 7946 0958 1.2.3.4", f"+44 20 7946 0958 {card} 9"])
+    for text, one in zip((alone[card], alone[card], masked(spark, ["2020-02-29"])[0], masked(spark, ["1.2.3.4"])[0], alone[card] + " 9"), got, strict=True):
+        assert one.endswith(text) and "7946 0958" not in one and "555 2671" not in one
+    odd = "411111 1111111111"
+    assert masked(spark, [odd])[0] != odd and luhn(masked(spark, [odd])[0]) % 10 == 0
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     out = df.select(pii.permute_digits(F.col("d"), "k", "t").alias("p"))

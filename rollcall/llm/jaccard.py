@@ -88,13 +88,17 @@ def first_parts(percent: int, end: int) -> tuple[int, int]:
     return n1 + spare, spare
 
 
+#: Size of sets up to which bands are worked out at first.
+TOP = 1 << 20
 _ENDS: dict[int, np.ndarray] = {}
 
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     """Digests of which two sets share one if their similarity is ``percent`` or more."""
-    if percent not in _ENDS or _ENDS[percent][-1] < len(grams):
-        _ENDS[percent] = np.array(bands(percent, max(1 << 20, 2 * len(grams))))
+    if percent not in _ENDS or _ENDS[percent][-2] < len(grams):
+        # At least one whole band lies above the set.
+        ends = bands(percent, max(TOP, 2 * len(grams)))
+        _ENDS[percent] = np.array(ends + bands(percent, ends[-1] + 1)[len(ends) :])
     ends = _ENDS[percent]
     own = int(np.searchsorted(ends, len(grams)))
     spread, out = mix(grams ^ _TWO), []

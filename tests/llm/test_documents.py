@@ -97,6 +97,24 @@ def test_signatures_meet_whenever_similar():
                 assert np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_in_the_last_bands_have_signatures(monkeypatch, percent):
+    ends = jaccard.bands(percent, 400)
+    grams = jaccard.mix(np.arange(1, 3 * ends[-1], dtype=np.uint64))
+    edges = [n for end in ends[-3:] for n in (end, end + 1)]
+    whole = {n: jaccard.signatures(grams[:n], percent) for n in edges + [2 * ends[-1]]}
+    monkeypatch.setattr(jaccard, "TOP", 400, raising=False)
+    for n, want in whole.items():
+        monkeypatch.setattr(jaccard, "_ENDS", {})
+        assert (jaccard.signatures(grams[:n], percent) == want).all()
+    # After a rebuild for a larger set, the new last bands.
+    monkeypatch.setattr(jaccard, "_ENDS", {})
+    jaccard.signatures(grams[: 2 * ends[-1]], percent)
+    for end in jaccard._ENDS[percent][-3:]:
+        for n in (int(end), int(end) + 1):
+            assert len(jaccard.signatures(jaccard.mix(np.arange(n, dtype=np.uint64)), percent))
+
+
 def test_crowded_part_flushes_large_buckets(monkeypatch):
     large: set = set()
     x = np.array([[7, i] for i in range(20)] + [[8, 1], [8, 2], [9, 1]], np.uint64)

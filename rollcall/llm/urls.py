@@ -130,7 +130,8 @@ def threshold(scores: DataFrame, kept: float = 0.995) -> DataFrame:
 
     ``scores`` has ``score`` and ``rejected`` of URLs the models haven't seen. Of
     all limits that let at least the share ``kept`` of accepted URLs pass, the one
-    that separates best; without rejected examples none blocks. Scores are
+    that separates best; if there is none, or no rejected example, the limit is
+    infinite and none blocks. Scores are
     counted in steps of a hundredth, some thousand at most.
     """
     step = F.round("score", 2).alias("step")
@@ -142,11 +143,11 @@ def threshold(scores: DataFrame, kept: float = 0.995) -> DataFrame:
     runs = bins.select(
         "step",
         (F.sum("good").over(up) / F.greatest(F.sum("good").over(every), F.lit(1))).alias("pass"),
-        (1 - F.sum("bad").over(up) / F.greatest(F.sum("bad").over(every), F.lit(1))).alias("caught"),
+        (1 - F.sum("bad").over(up) / F.nullif(F.sum("bad").over(every), F.lit(0))).alias("caught"),
         F.coalesce(F.lead("step").over(Window.orderBy("step")), F.col("step")).alias("next"),
     ).filter((F.col("pass") >= kept) & (F.col("caught") > 0))
     best = F.max_by((F.col("step") + F.col("next")) / 2, F.struct(F.col("pass") + F.col("caught"), "step"))
-    return runs.agg(F.coalesce(best, F.lit(0.0)).alias("least"))
+    return runs.agg(F.coalesce(best, F.lit(float("inf"))).alias("least"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES,

@@ -109,6 +109,14 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_no_limit_without_rejected_examples_or_separation(spark):
+    clean = spark.createDataFrame([(i, f"http://blog{i % 7}.example.org/en/{i * i}") for i in range(150)], "page_id long, url string")
+    assert urls.judge(clean, rules=()).filter("verdict = 'block'").count() == 0
+    mixed = [(0.1 * i, False) for i in range(1, 50)] + [(-1.0, True)]
+    for rows in (mixed, [r for r in mixed if not r[1]], []):
+        assert urls.threshold(spark.createDataFrame(rows, "score double, rejected boolean")).first()["least"] == float("inf")
+
+
 def test_url_models_sum_to_one(spark):
     taught = spark.createDataFrame([("a.b/c", False), ("pills.x/", True), ("a.b/d", False)], "text string, rejected boolean")
     counts = taught.select("rejected", F.explode(urls._grams(F.col("text"), 1)).alias("cell")).groupBy("rejected", "cell").agg(F.count("*").alias("n"))

@@ -151,9 +151,14 @@ def _measured(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [np.array(measure(t)) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("kind"), pa.array(x, pa.list_(pa.float64()))], ["kind", "x"])
+            yield pa.record_batch(
+                [*(b.column(c) for c in ("id", "kind", "digest")), pa.array(x, pa.list_(pa.float64()))],
+                ["id", "kind", "digest", "x"],
+            )
 
-    return texts.mapInArrow(run, "kind int, x array<double>")
+    # Rows that repeat an id count once, by the text of smallest digest.
+    measured = texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, kind int, digest long, x array<double>")
+    return measured.groupBy("id", "kind").agg(F.min_by("x", F.struct("digest", "x")).alias("x")).select("kind", "x")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
@@ -173,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str =
         first(ids.join(marks.select("doc_id"), "doc_id", "left_anti")).withColumn("kind", F.lit(0))
     )
     picked = stage(picked, "quality_sample")
-    got = _measured(src.join(F.broadcast(picked), "doc_id").select("kind", "text")).toArrow()
+    texts = src.join(F.broadcast(picked), "doc_id")
+    got = _measured(texts.select(F.col("doc_id").alias("id"), "kind", F.xxhash64("text").alias("digest"), "text")).toArrow()
     kind = got.column("kind").to_numpy()
     x = np.array(got.column("x").to_pylist(), float).reshape(len(kind), len(FEATURES))
     order = np.lexsort((*x.T, kind))  # the fit must not depend on the order of rows

@@ -225,6 +225,17 @@ def test_quality(spark):
     assert quality.score_documents(df, marks.limit(0)).count() == len(rows)
 
 
+def test_repeated_ids_are_measured_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda good, mixed: seen.append((len(good), len(mixed))))
+    rows = [(i, f"text {i}") for i in range(20)] + [(3, f"again {k}") for k in range(50)] + [(4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    quality.train(docs, marks)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(10))
+    assert seen == [(10 - held, 10)]
+
+
 def test_prior_is_estimated():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8):

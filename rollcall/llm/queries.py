@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from rollcall.llm import ann, bpe, chat, jaccard, packing, pages, pii, quality, urls, vecdedup
+from rollcall.llm import align, ann, bpe, chat, counts, fim, jaccard, packing, pages, pii, quality, urls, vecdedup
 from rollcall.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,48 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+FIM_SQL = """
+with units as (
+  select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u from documents
+), drawn as (
+  select *, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from units
+), formed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as i, greatest(h1 % (n + 1), h2 % (n + 1)) as j,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn
+), cut as (
+  select *, array_to_string(u[1:i], '') as p, array_to_string(u[i + 1:j], '') as m,
+    array_to_string(u[j + 1:], '') as s from formed
+)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from cut
+"""
+
+
+@query("op11_fim", FIM_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fim.transform(read(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_counts")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.count_tokens(read(spark, folder, "documents"))
+
+
+@query("op13_align")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align_documents(read(spark, folder, "documents"))

@@ -94,10 +94,11 @@ def files(spark: SparkSession) -> DataFrame:
 
 
 def observations(
-    spark: SparkSession, *, has_id: bool = True, has_name: bool = True, has_full: bool = False
+    spark: SparkSession, *, has_id: bool = True, has_name: bool = True, has_full: bool = False,
+    sql: str = OBSERVATIONS,
 ) -> DataFrame:
     """Observations over ``roster``; the flags say which columns a sheet offers."""
-    spark.sql(OBSERVATIONS).createOrReplaceTempView("raw_observations")
+    spark.sql(sql).createOrReplaceTempView("raw_observations")
     files(spark)
     return spark.sql(
         f"""

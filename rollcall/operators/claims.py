@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import strip
@@ -14,7 +14,18 @@ from rollcall.functions.values import (
     out_of_range,
     parse_number,
 )
-from rollcall.operators.lookup import Limits, hottest, lookup
+from rollcall.operators.lookup import HeavyKeys, Limits, joint_key, lookup, salts
+
+
+def value_keys(tokens: bool, clamps: bool, low: float | None, high: float | None) -> dict[str, Column]:
+    """Keys of the lookups of saved answers that shuffle, over the observations.
+
+    Texts known otherwise and values that a saved token explains only make counts higher.
+    """
+    cell = strip(F.coalesce("value_raw", F.lit("")))
+    number = parse_number(F.replace(cell, F.lit(","), F.lit(".")))
+    keys = {"token": F.upper(cell)} if tokens else {}
+    return keys | ({"clamp": joint_key(F.col("file"), F.col("sheet"), out_of_range(number, low, high))} if clamps else {})
 
 
 def with_value(
@@ -28,11 +39,14 @@ def with_value(
     tokens_small: bool = False,
     clamps_small: bool = False,
     limits: Limits = Limits(),
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """Parse value_raw and clamp it where a decision says so.
 
     A null cell of a file counts as an empty one. Adds value, is_absent,
-    value_issue, direction, clamp_answer and parsed_value (before clamping).
+    value_issue, token_answer, direction, clamp_answer and parsed_value (before
+    clamping). ``token_table`` may have a column ``answer``: a text that was
+    refused as an absence stays unparsed, but is no open question again.
     Each step is a column of its own: an expression that several others use
     would otherwise be repeated in each of them.
     """
@@ -45,17 +59,20 @@ def with_value(
         }
     )
     df = df.withColumn("token_known", F.col("cell_token").isin(absent_tokens(tokens)))
-    if token_table is not None:
-        saved = token_table.select(
-            strip(F.upper("token")).alias("token_key"), F.lit(True).alias("token_saved")
-        ).distinct()
+    if token_table is None:
+        df = df.withColumn("token_answer", F.lit(None).cast("boolean"))
+    else:
+        answer = F.col("answer") if "answer" in token_table.columns else F.lit(True)
+        saved = token_table.groupBy(strip(F.upper("token")).alias("token_key")).agg(
+            F.bool_or(answer).alias("token_answer")
+        )
         asked = F.when(~F.col("cell_blank") & ~F.col("token_known"), F.col("cell_token"))
         df = lookup(
             df.withColumn("token_key", asked), saved, "token_key",
-            spread=F.col("ord"), small=tokens_small, limits=limits,
+            spread=F.col("ord"), small=tokens_small, hot=heavy and heavy.of("token", "token_key"), limits=limits,
         )
         df = df.withColumn(
-            "token_known", F.col("token_known") | F.coalesce("token_saved", F.lit(False))
+            "token_known", F.col("token_known") | F.coalesce("token_answer", F.lit(False))
         )
     is_absent = ~F.col("cell_blank") & F.col("token_known")
     df = df.withColumn("is_absent", is_absent)
@@ -69,18 +86,18 @@ def with_value(
         {"value_issue": issue, "direction": out_of_range("parsed_value", low, high)}
     )
     df = df.drop(
-        "cell", "cell_number", "cell_token", "cell_blank", "token_known", "token_key", "token_saved"
+        "cell", "cell_number", "cell_token", "cell_blank", "token_known", "token_key"
     )
     if clamp_choices is None:
         df = df.withColumn("clamp_answer", F.lit(None).cast("boolean"))
     else:
         answers = clamp_choices.groupBy(
-            F.struct("file", "sheet", "direction").alias("clamp_key")
+            joint_key("file", "sheet", "direction").alias("clamp_key")
         ).agg(F.bool_or("answer").alias("clamp_answer"))
-        key = F.when(F.col("direction").isNotNull(), F.struct("file", "sheet", "direction"))
         df = lookup(
-            df.withColumn("clamp_key", key), answers, "clamp_key",
-            spread=F.col("ord"), small=clamps_small, limits=limits,
+            df.withColumn("clamp_key", joint_key("file", "sheet", "direction")),
+            answers.where("clamp_key is not null"), "clamp_key",
+            spread=F.col("ord"), small=clamps_small, hot=heavy and heavy.of("clamp", "clamp_key"), limits=limits,
         ).drop("clamp_key")
     use = F.coalesce("clamp_answer", F.lit(False))
     bound = bound_of(F.col("direction"), low, high)
@@ -124,7 +141,7 @@ def with_claim_state(
     member would sort a hot member's rows in one task.
     """
     first = claims.select("member", "first_ord", "source_ord")
-    hot = None if small else hottest(claims, "member", "n_rows", limits)
+    hot = None if small else salts(claims, "member", "n_rows", limits)
     joined = lookup(
         matched, first, "member", spread=F.col("ord"), small=small, hot=hot, limits=limits
     )

@@ -1,7 +1,8 @@
 """Left join to a table that is unique per key, chosen by measured size.
 
 A table proven small is broadcast. Any other goes through a shuffle in which
-rows that cannot match and keys that hold very many rows are spread out.
+rows that cannot match are spread out and a key of very many rows is dealt over
+as many places as its count asks for.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOT, SALT, COUNT = "__hot", "__salt", "__count"
+from rollcall.sources.staging import stage
+
+SALTS, SALT, COUNT = "__salts", "__salt", "__count"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds that steer joins; they never change a result."""
+    """Bounds that steer joins; they never change a result.
+
+    ``hot_rows``: rows of one key that go to one place of a shuffle.
+    """
 
     broadcast_bytes: int = 128 * 1024 * 1024
-    hot_rows: int = 5_000_000
-    hot_keys: int = 1024
-    salts: int = 64
+    hot_rows: int = 2_000_000
     null_spread: int = 1 << 20
 
 
@@ -67,27 +71,60 @@ def fill_cores(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def hot_keys(df: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
-    """The most frequent keys with very many rows: at most ``hot_keys`` of them.
+def joint_key(*columns: str | Column) -> Column:
+    """One text for several: equal only where all are; null where one is."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.concat(*(F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts))
 
-    Counted over the rows as given, so pass a plan without lookups in it.
-    """
-    return hottest(
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(COUNT)),
-        key,
-        COUNT,
-        limits,
+
+def salts(counts: DataFrame, key: str, count: str, limits: Limits = Limits()) -> DataFrame:
+    """``key, __salts``: places of each key that has more rows than one place takes."""
+    n = F.col(count)
+    return counts.where(n > limits.hot_rows).select(
+        key, F.ceil(n / F.lit(limits.hot_rows)).cast("bigint").alias(SALTS)
     )
 
 
-def hottest(counts: DataFrame, key: str, count: str, limits: Limits = Limits()) -> DataFrame:
-    """Hot keys from a table that already counts rows per key."""
-    return (
-        counts.where(F.col(count) >= limits.hot_rows)
-        .orderBy(F.desc(count), key)
-        .limit(limits.hot_keys)
-        .select(key, F.lit(True).alias(HOT))
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Keys of many rows for several lookups, counted in one pass over the rows.
+
+    There are at most rows / ``hot_rows`` of them. ``counts`` is a written table
+    of kind, key and count, checked to be small enough to broadcast.
+    """
+
+    counts: DataFrame | None
+    limits: Limits
+
+    def of(self, kind: str, name: str) -> DataFrame | None:
+        """The salts of one lookup, whose key column is ``name``."""
+        if self.counts is None:
+            return None
+        own = self.counts.where(F.col("kind") == kind).withColumnRenamed("key", name)
+        return salts(own, name, COUNT, self.limits)
+
+
+def heavy_keys(df: DataFrame, keys: dict[str, Column], limits: Limits = Limits()) -> HeavyKeys:
+    """Count the keys of all lookups that shuffle, one ``kind`` each, in one aggregate.
+
+    Counted over the rows as given, so pass a plan without lookups in it. A count
+    that is too high only means more places.
+    """
+    if not keys:
+        return HeavyKeys(None, limits)
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in keys.items()))
+    found = (
+        df.select(F.inline(F.filter(each, lambda s: s["key"].isNotNull())))
+        .groupBy("kind", "key")
+        .agg(F.count(F.lit(1)).alias(COUNT))
     )
+    found = stage(found.where(F.col(COUNT) > limits.hot_rows), "heavy_keys")
+    # Far more keys than a broadcast should hold: only keys of more rows get places of their own.
+    least, room = limits.hot_rows, max(limits.broadcast_bytes, Limits.broadcast_bytes)
+    while measured_bytes(found) > room:
+        least *= 2
+        found = found.where(F.col(COUNT) > least)
+    return HeavyKeys(found, limits)
 
 
 def lookup(
@@ -103,11 +140,11 @@ def lookup(
     """Add the columns of ``right`` (at most one row per key) to ``left``.
 
     A small ``right`` is broadcast. Otherwise rows with a null key, which match
-    nothing, are spread over the tasks, and rows of a ``hot`` key over
-    ``salts`` places, to each of which that key's row of ``right`` is copied.
-    ``spread`` identifies a row of ``left``; salts derive from it, so a task
-    that runs again sends its rows to the same places. Which keys are salted
-    steers only the distribution: every row is kept and looked up.
+    nothing, are spread over the tasks, and rows of a key in ``hot`` over the
+    places it has there (``salts``), to each of which that key's row of
+    ``right`` is copied. ``spread`` identifies a row of ``left``; salts derive
+    from it, so a task that runs again sends its rows to the same places. Which
+    keys are salted steers only the distribution: every row is kept and looked up.
     """
     if small:
         return left.join(F.broadcast(right), key, "left")
@@ -121,14 +158,8 @@ def lookup(
 
     salted = left.join(F.broadcast(hot), key, "left").withColumn(
         SALT,
-        salt.when(F.col(HOT), F.pmod(place, F.lit(limits.salts))).otherwise(F.lit(0)),
-    )
-    copies = F.when(
-        F.col(HOT), F.sequence(F.lit(0), F.lit(limits.salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    copied = (
-        right.join(F.broadcast(hot), key, "left")
-        .withColumn(SALT, F.explode(copies.cast("array<bigint>")))
-        .drop(HOT)
+        salt.when(F.col(SALTS).isNotNull(), F.pmod(place, F.col(SALTS))).otherwise(F.lit(0)),
     )
-    return salted.join(copied, [key, SALT], "left").drop(HOT, SALT)
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(SALTS), F.lit(1)) - 1)
+    copied = right.join(F.broadcast(hot), key, "left").withColumn(SALT, F.explode(copies)).drop(SALTS)
+    return salted.drop(SALTS).join(copied, [key, SALT], "left").drop(SALT)

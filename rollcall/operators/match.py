@@ -17,18 +17,21 @@ from rollcall.functions.text import (
     normalize_text,
     strip,
 )
-from rollcall.operators.lookup import Limits, hot_keys, lookup
+from rollcall.operators.lookup import HeavyKeys, Limits, heavy_keys, joint_key, lookup
 from rollcall.operators.roster import Roster
 
 
-def with_id_hit(obs: DataFrame, roster: Roster, limits: Limits = Limits()) -> DataFrame:
+def id_key() -> Column:
+    return F.when(F.col("has_id") & ~is_missing("id_raw"), strip("id_raw"))
+
+
+def with_id_hit(
+    obs: DataFrame, roster: Roster, limits: Limits = Limits(), heavy: HeavyKeys | None = None
+) -> DataFrame:
     """Id lookup: id_key is null where the id is missing, roster_name where unknown."""
-    keyed = obs.withColumn(
-        "id_key", F.when(F.col("has_id") & ~is_missing("id_raw"), strip("id_raw"))
-    )
     return lookup(
-        keyed, roster.ids, "id_key", spread=F.col("ord"), small=roster.small,
-        hot=None if roster.small else hot_keys(keyed, "id_key", limits), limits=limits,
+        obs.withColumn("id_key", id_key()), roster.ids, "id_key", spread=F.col("ord"),
+        small=roster.small, hot=heavy and heavy.of("id", "id_key"), limits=limits,
     )
 
 
@@ -54,18 +57,19 @@ def with_name_check(df: DataFrame) -> DataFrame:
 
 
 def with_name_decision(
-    df: DataFrame, decisions: DataFrame | None, small: bool, limits: Limits = Limits()
+    df: DataFrame, decisions: DataFrame | None, small: bool, limits: Limits = Limits(),
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """Saved answer for a contradicting name; null where nobody answered."""
     if decisions is None:
         return df.withColumn("same_person", F.lit(None).cast("boolean"))
-    answers = decisions.groupBy(F.struct("file", "id").alias("pair")).agg(
+    answers = decisions.groupBy(joint_key("file", "id").alias("pair")).agg(
         F.bool_and("answer").alias("same_person")
     )
-    pair = F.when(F.col("mismatch"), F.struct("file", F.col("id_key").alias("id")))
+    pair = F.when(F.col("mismatch"), joint_key("file", "id_key"))
     return lookup(
-        df.withColumn("pair", pair), answers, "pair",
-        spread=F.col("ord"), small=small, limits=limits,
+        df.withColumn("pair", pair), answers.where("pair is not null"), "pair",
+        spread=F.col("ord"), small=small, hot=heavy and heavy.of("pair", "pair"), limits=limits,
     ).drop("pair")
 
 
@@ -77,13 +81,17 @@ def row_name_key() -> Column:
     return F.when(F.col("name_present"), pair).when(use_full, merged)
 
 
-def hot_names(obs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Hot name keys over all rows; rows an id settles only make the set larger."""
-    return hot_keys(with_name_forms(obs).select(row_name_key().alias("name_key")), "name_key", limits)
+def match_keys(roster: Roster, pairs: bool) -> dict[str, Column]:
+    """Keys of the lookups that shuffle, over ``with_name_forms`` of the observations.
+
+    Rows that an id settles, and pairs whose names agree, only make counts higher.
+    """
+    keys = {} if roster.small else {"id": id_key(), "name": row_name_key()}
+    return keys | ({"pair": joint_key(F.col("file"), id_key())} if pairs else {})
 
 
 def with_name_hit(
-    df: DataFrame, roster: Roster, hot: DataFrame | None = None, limits: Limits = Limits()
+    df: DataFrame, roster: Roster, limits: Limits = Limits(), heavy: HeavyKeys | None = None
 ) -> DataFrame:
     """Name lookup for rows the id did not settle.
 
@@ -94,7 +102,7 @@ def with_name_hit(
     key = F.when(F.col("roster_name").isNull(), row_name_key())
     return lookup(
         df.withColumn("name_key", key), roster.names, "name_key",
-        spread=F.col("ord"), small=roster.small, hot=hot, limits=limits,
+        spread=F.col("ord"), small=roster.small, hot=heavy and heavy.of("name", "name_key"), limits=limits,
     )
 
 
@@ -160,10 +168,16 @@ def match(
     name_decisions: DataFrame | None = None,
     decisions_small: bool = False,
     limits: Limits = Limits(),
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
-    """Observations with ``member``, ``tier`` and ``match_issues``."""
-    df = with_name_check(with_id_hit(obs, roster, limits))
-    df = with_name_decision(df, name_decisions, decisions_small, limits)
-    hot = None if roster.small else hot_names(obs, limits)
-    df = with_name_hit(df, roster, hot, limits)
+    """Observations with ``member``, ``tier`` and ``match_issues``.
+
+    ``heavy`` comes from a caller that counted the keys of more lookups at once.
+    """
+    if heavy is None:
+        pairs = name_decisions is not None and not decisions_small
+        heavy = heavy_keys(with_name_forms(obs), match_keys(roster, pairs), limits)
+    df = with_name_check(with_id_hit(obs, roster, limits, heavy))
+    df = with_name_decision(df, name_decisions, decisions_small, limits, heavy)
+    df = with_name_hit(df, roster, limits, heavy)
     return df.withColumns(_outcome())

@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.constants import SEVERITY
-from rollcall.operators.lookup import Limits, hot_keys, is_small, lookup
+from rollcall.operators.lookup import COUNT, Limits, lookup, salts
 
 
-def consolidated(members: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:
-    """Every roster member with its claim, if any."""
-    named = claims.join(
+def claims_per_file(claims: DataFrame, rows: Column, limits: Limits) -> DataFrame:
+    """Salts of files that very many members, or rows of members, have their claim from."""
+    counts = claims.groupBy("source_ord").agg(F.sum(rows).alias(COUNT))
+    return salts(counts, "source_ord", COUNT, limits)
+
+
+def consolidated(
+    members: DataFrame, claims: DataFrame, files: DataFrame, small: bool = True, limits: Limits = Limits()
+) -> DataFrame:
+    """Every roster member with its claim, if any; ``small`` says so of the files."""
+    named = lookup(
+        claims,
         files.select(F.col("file_ord").alias("source_ord"), F.col("file").alias("source")),
-        "source_ord",
-        "left",
+        "source_ord", spread=F.col("member"), small=small,
+        hot=None if small else claims_per_file(claims, F.lit(1), limits), limits=limits,
     ).select(
         F.col("member").alias("id"), "value",
         F.col("is_absent").alias("claimed_absent"), "source",
@@ -103,8 +112,13 @@ def row_issue_codes() -> Column:
     return F.concat("match_issues", F.array_compact(own))
 
 
-def row_issues(stated: DataFrame, files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per issue of an observation, with the details that explain it."""
+def row_issues(
+    stated: DataFrame, files: DataFrame, claims: DataFrame, small: bool = True, limits: Limits = Limits()
+) -> DataFrame:
+    """One row per issue of an observation, with the details that explain it.
+
+    ``small`` says so of the files.
+    """
     detail = F.map_filter(
         F.create_map(
             F.lit("id"), F.col("id_key"),
@@ -122,8 +136,7 @@ def row_issues(stated: DataFrame, files: DataFrame, limits: Limits = Limits()) -
     )
     found = stated.withColumn("codes", row_issue_codes()).where(F.size("codes") > 0)
     # Most rows have no earlier claim and one file may have made most: never one task each.
-    small = is_small(earlier, limits)
-    hot = None if small else hot_keys(found, "source_ord", limits)
+    hot = None if small else claims_per_file(claims, F.col("n_rows"), limits)
     found = lookup(found, earlier, "source_ord", spread=F.col("ord"), small=small, hot=hot, limits=limits)
     return found.select(
         "file", "sheet", "ord", F.col("member").alias("id"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import is_missing, name_key, normalize_text, strip
-from rollcall.operators.lookup import Limits, hottest, is_small, lookup
+from rollcall.operators.lookup import Limits, is_small, lookup, salts
+from rollcall.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def duplicate_rows(
 ) -> DataFrame:
     """Dropped roster rows, one issue each."""
     kept = members.where("copies > 1").select("id", F.col("ord").alias("kept_ord"))
-    hot = None if small else hottest(members, "id", "copies", limits)
+    hot = None if small else salts(members, "id", "copies", limits)
     joined = lookup(
         present_rows(rows), kept, "id",
         spread=F.col("ord"), small=small, hot=hot, limits=limits,
@@ -116,13 +117,13 @@ def index_roster(
 ) -> Roster:
     """Deduplicate the roster and derive its lookup tables.
 
-    The size is measured unless the caller states it. Keys repeat each name a
-    few times, hence the factor on the measured bytes.
+    The members are written once, as ids, names and results all read them. Their
+    size is measured unless the caller states it. Keys repeat each name a few
+    times, hence the factor on the measured bytes.
     """
-    members = dedup_members(rows)
+    members = stage(dedup_members(rows), "members")
     if small is None:
-        bound = Limits(broadcast_bytes=limits.broadcast_bytes // 4)
-        small = is_small(present_rows(rows), bound)
+        small = is_small(members.drop("ord"), Limits(broadcast_bytes=limits.broadcast_bytes // 4))
     forms = name_forms(members)
     ids = forms.select(
         F.col("id").alias("id_key"), F.concat_ws(" ", "first", "last").alias("roster_name")

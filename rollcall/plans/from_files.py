@@ -185,7 +185,7 @@ def reconcile_files(
     decisions: Decisions = Decisions(),
     params: Params = Params(),
     limits: Limits = Limits(),
-    stage_rows: bool = False,
+    stage_rows: bool = True,
 ) -> Reconciliation:
     """The whole run: list, scan, settle columns, match, first claims, report."""
     inputs = stage(list_inputs(spark, base, files, folder), "inputs")

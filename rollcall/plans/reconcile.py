@@ -8,10 +8,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from rollcall.operators import report
-from rollcall.operators.claims import first_claims, with_claim_state, with_value
+from rollcall.operators.claims import first_claims, value_keys, with_claim_state, with_value
 from rollcall.operators.decisions import Decisions, pending
-from rollcall.operators.lookup import Limits, fill_cores, which_small
-from rollcall.operators.match import match
+from rollcall.operators.lookup import Limits, fill_cores, heavy_keys, which_small
+from rollcall.operators.match import match, match_keys, with_name_forms
 from rollcall.operators.roster import Roster, duplicate_rows, index_roster
 from rollcall.sources.staging import stage
 
@@ -36,25 +36,40 @@ class Reconciliation:
     limits: Limits
     sheets: DataFrame | None = None
     early_issues: list[DataFrame] = field(default_factory=list)
+    files_small: bool = True
+    stage_rows: bool = True
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Matched rows for outputs that read them more than once: written when first asked for."""
+        return stage(self.matched, "matched") if self.stage_rows else self.matched
 
     @cached_property
     def claims(self) -> DataFrame:
-        return first_claims(self.matched)
+        """First claims, from the written rows where there are any."""
+        return first_claims(self.__dict__.get("rows", self.matched))
+
+    @cached_property
+    def kept_claims(self) -> DataFrame:
+        """First claims for outputs that read the rows beside them."""
+        found = first_claims(self.rows)
+        return stage(found, "claims") if self.stage_rows else found
 
     @cached_property
     def stated(self) -> DataFrame:
         """Matched rows that know whether an earlier claim exists."""
         return with_claim_state(
-            self.matched, self.claims, small=self.roster.small, limits=self.limits
+            self.rows, self.kept_claims, small=self.roster.small, limits=self.limits
         )
 
     @cached_property
     def consolidated(self) -> DataFrame:
-        return report.consolidated(self.roster.members, self.claims, self.files)
+        claims = self.__dict__.get("kept_claims", self.claims)
+        return report.consolidated(self.roster.members, claims, self.files, self.files_small, self.limits)
 
     @cached_property
     def file_report(self) -> DataFrame:
-        return report.file_report(self.files, self.matched, self.claims)
+        return report.file_report(self.files, self.rows, self.kept_claims)
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -73,7 +88,7 @@ class Reconciliation:
     @cached_property
     def issues(self) -> DataFrame:
         """Issues of files, sheets and rows; ``roster_issues`` has the roster's."""
-        found = report.row_issues(self.stated, self.files, self.limits)
+        found = report.row_issues(self.stated, self.files, self.kept_claims, self.files_small, self.limits)
         for early in self.early_issues:
             found = found.unionByName(early, allowMissingColumns=True)
         return found
@@ -92,7 +107,7 @@ def reconcile(
     params: Params = Params(),
     limits: Limits = Limits(),
     roster_small: bool | None = None,
-    stage_rows: bool = False,
+    stage_rows: bool = True,
     thin: bool = False,
 ) -> Reconciliation:
     """Resolve observations to members and keep the first claim of each.
@@ -100,26 +115,34 @@ def reconcile(
     ``roster_rows``: id, first_name, last_name, email, ord. ``observations``:
     see ``operators.match``, with sheet and value_raw. ``files``: file_ord,
     file. With ``stage_rows`` the matched rows are written once to the shared
-    folder and read back, so that claims, report and issues do not match again.
+    folder as soon as an output needs them twice, so that claims, report, issues
+    and questions do not match again.
     ``thin`` tells that the observations come in fewer partitions than there are
     cores; they are spread then.
     """
     roster = index_roster(roster_rows, limits, roster_small)
     if files is None:
         files = observations.select("file_ord", "file").distinct()
-    names_small, tokens_small, clamps_small = which_small(
-        [decisions.name_decisions, decisions.absent_tokens, decisions.clamp_choices], limits
+    names_small, tokens_small, clamps_small, files_small = which_small(
+        [decisions.name_decisions, decisions.absent_tokens, decisions.clamp_choices, files], limits
+    )
+    rows = fill_cores(observations) if thin else observations
+    keys = match_keys(roster, decisions.name_decisions is not None and not names_small) | value_keys(
+        decisions.absent_tokens is not None and not tokens_small,
+        decisions.clamp_choices is not None and not clamps_small, params.min_value, params.max_value,
     )
+    heavy = heavy_keys(with_name_forms(observations), keys, limits)
     matched = match(
-        fill_cores(observations) if thin else observations, roster,
-        name_decisions=decisions.name_decisions, decisions_small=names_small, limits=limits,
+        rows, roster, name_decisions=decisions.name_decisions, decisions_small=names_small,
+        limits=limits, heavy=heavy,
     )
     matched = with_value(
         matched,
         low=params.min_value, high=params.max_value, tokens=params.absent_tokens,
         token_table=decisions.absent_tokens, clamp_choices=decisions.clamp_choices,
         tokens_small=tokens_small, clamps_small=clamps_small, limits=limits,
+        heavy=heavy,
+    )
+    return Reconciliation(
+        roster_rows, roster, files, matched, limits, files_small=files_small, stage_rows=stage_rows
     )
-    if stage_rows:
-        matched = stage(matched, "matched")
-    return Reconciliation(roster_rows, roster, files, matched, limits)

@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.operators.claims import first_claims, with_claim_state
-from rollcall.operators.lookup import Limits, hot_keys, is_small, lookup
+from rollcall.operators.lookup import SALTS, Limits, heavy_keys, is_small, joint_key, lookup
 
-TINY = Limits(broadcast_bytes=0, hot_rows=50, hot_keys=3, salts=5, null_spread=7)
+TINY = Limits(broadcast_bytes=0, hot_rows=50, null_spread=7)
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def test_salted_lookup_equals_broadcast(sides):
     left, right = sides
     want = sorted(lookup(left, right, "key", spread=F.col("ord"), small=True).collect(), key=str)
     plain = lookup(left, right, "key", spread=F.col("ord"), small=False, limits=TINY)
-    hot = hot_keys(left, "key", TINY)
+    hot = heavy_keys(left, {"k": F.col("key")}, TINY).of("k", "key")
     salted = lookup(left, right, "key", spread=F.col("ord"), small=False, hot=hot, limits=TINY)
     assert len(want) == 3000
     for got in (plain, salted):
@@ -30,10 +30,39 @@ def test_salted_lookup_equals_broadcast(sides):
         assert sorted(rows, key=str) == want
 
 
-def test_hot_keys_are_the_most_frequent(sides):
-    assert [r.key for r in hot_keys(sides[0], "key", TINY).limit(1).collect()] == ["hot"]
-    assert hot_keys(sides[0], "key", TINY).count() <= TINY.hot_keys
-    assert hot_keys(sides[0], "key", Limits()).count() == 0
+def test_salts_follow_the_counts(sides):
+    keys = {"a": F.col("key"), "b": joint_key(F.lit("x"), F.col("key"))}
+    heavy = heavy_keys(sides[0], keys, TINY)
+    # 1,000 rows of one key, at most 50 in one place; all others have ten rows each.
+    assert [(r["key"], r[SALTS]) for r in heavy.of("a", "key").collect()] == [("hot", 20)]
+    assert [(r["key"], r[SALTS]) for r in heavy.of("b", "key").collect()] == [("1:x3:hot", 20)]
+    assert heavy.of("c", "key").count() == 0
+    assert heavy_keys(sides[0], keys, Limits()).of("a", "key").count() == 0
+    assert heavy_keys(sides[0], {}, TINY).of("a", "key") is None
+
+
+def test_five_thousand_hot_keys_are_dealt_evenly(spark):
+    # 5,000 keys of 60 rows and one that holds a third of all rows; five rows of a key to a place.
+    limits = Limits(broadcast_bytes=0, hot_rows=5)
+    left = spark.range(450_000).select(
+        F.col("id").alias("ord"), F.when(F.col("id") < 150_000, "hot").otherwise((F.col("id") % 5000).cast("string")).alias("key")
+    )
+    right = left.select("key").distinct().withColumn("v", F.length("key"))
+    hot = heavy_keys(left, {"k": F.col("key")}, limits).of("k", "key")
+    assert hot.count() == 5001
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup(left, right, "key", spread=F.col("ord"), small=False, hot=hot, limits=limits)
+        rows = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert out.where("v is null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(rows) == 450_000 and len(rows) == 40
+    assert rows[-1] <= 2 * rows[20]
 
 
 def test_size_is_measured(sides):

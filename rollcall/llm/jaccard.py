@@ -29,15 +29,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rollcall.llm.components import components
-from rollcall.llm.tables import narrow, slices, stage
-from rollcall.operators.lookup import Limits, is_small
+from rollcall.llm.tables import fresh, narrow, quoted, slices, small_batches, stage
+from rollcall.operators.lookup import Limits, is_small, lookup, salts
 
 #: Sets of a bucket up to which all its pairs are checked one by one.
 FEW = 6
 #: Shingles of a block, and signatures of one part of the exchange, about.
 BLOCK, PART = 500_000, 1_000_000
+#: Pairs of one left set that are checked in one place.
+PAIRS = 10_000
 _ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -172,10 +175,12 @@ def _within(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _among(docs: DataFrame, name: Column, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is, or isn't, among ``ids`` (one column ``_id``): ids of a
-    checked size are sent to the texts, more are joined without sorting the texts."""
+    """Documents whose id is, or isn't, among ``ids`` (one column): ids of a checked
+    size are sent to the texts, more are joined without sorting the texts."""
+    own = fresh("id")
+    ids = ids.toDF(own)
     sent = F.broadcast(ids) if is_small(ids, Limits()) else ids.hint("shuffle_hash")
-    return docs.join(sent, name == F.col("_id"), how)
+    return docs.join(sent, name == F.col(own), how)
 
 
 def _encode(part: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -302,20 +307,40 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` that link."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    """Those of the pairs ``a, b`` that link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(linked(common, len(x), len(y), percent)))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Pairs are dealt by their left set and sorted behind it, so a task holds one left
+    set and streams the right ones past it; a left set of very many pairs is copied
+    to as many places as these ask for.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("long").alias("places"))
+    left = counts.join(sets, counts["a"] == sets["node"]).select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"),
+        F.lit(None).cast("long").alias("b"), "grams",
+    )
+    many = counts.filter("places > 1")  # at most pairs / PAIRS rows
+    dealt = pairs.join(many, "a", "left") if not many.isEmpty() else pairs.withColumn("places", F.lit(1))
+    right = dealt.join(sets, pairs["b"] == sets["node"]).select(
+        "a", F.pmod(F.xxhash64("b"), F.coalesce("places", F.lit(1)).cast("long")).alias("place"), "b", "grams"
+    )
+    # The left set comes first: nulls sort before all others.
+    rows = left.unionByName(right).repartition("a", "place").sortWithinPartitions("a", "place", "b")
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.empty(0, np.uint64)
+        for batch in batches:
+            out_a, out_b = [], []
+            a, b, grams = (batch.column(c) for c in ("a", "b", "grams"))
+            for i, j, g in zip(a.to_pylist(), b.to_pylist(), grams, strict=True):
+                y = np.frombuffer(g.as_buffer(), np.uint64)
+                if j is None:
+                    x = y.copy()
+                elif linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                    out_a.append(i)
+                    out_b.append(j)
+            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return rows.select("a", "b", "grams").mapInArrow(run, "a long, b long")
 
 
 class Forest:
@@ -394,23 +419,13 @@ def _large(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
     return dealt.groupBy("g", "i", "j").applyInPandas(_compare(percent), "a long, b long")
 
 
-def join_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
-                   text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All documents with their class, and the links between classes.
-
-    Rows: ``doc_id, n_shingles, class_id`` (smallest id with the same set), one per
-    input row. Links: ``a, b`` between class ids; every two sets of similarity
-    ``percent`` or more are linked or connected by links of such sets.
-
-    Texts without words, null or empty, have no shingle and a class of their own;
-    rows with a null id keep a null class and link nothing; rows that repeat an id
-    with another text are documents of their own in links. Ids are whole numbers;
-    extra columns are dropped; empty tables give empty results.
-    """
+def _linked_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, n, node`` of every row, ``node, class_id`` of every set, and links ``a, b`` of sets."""
+    small_batches(docs.sparkSession)
     src = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = stage(_profile(src, words), "jaccard_sets")
     some = rows.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     # Signatures of a set of n: three for each two differences, for two bands.
     total = (some.agg(F.sum("n")).first()[0] or 0) * 6.75 * (100 - percent) / (100 + percent)
     parts = max(24, int(total / PART))
@@ -422,12 +437,29 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         members.select(F.col("a").alias("node"))
     ).distinct()
-    ids = stage(classes.join(wanted, "node", "left_semi").select(F.col("class_id").alias("_id")).distinct(), "jaccard_wanted")
+    ids = stage(classes.join(wanted, "node", "left_semi").select("class_id").distinct(), "jaccard_wanted")
     found = _sets(_among(src, F.col("doc_id"), ids, "left_semi"), words).dropDuplicates(["node"])
     sets = stage(found, "jaccard_grams")
     near = stage(_check(pairs, sets, percent), "jaccard_links")
     far = stage(_large(members, sets, near, percent), "jaccard_far")
-    links = near.unionByName(far)
+    return rows, classes, near.unionByName(far)
+
+
+def join_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                   text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All documents with their class, and the links between classes.
+
+    Rows: ``doc_id, n_shingles, class_id`` (smallest id with the same set), one per
+    input row. Links: ``a, b`` between class ids; every two sets of similarity
+    ``percent`` or more are linked or connected by links of such sets.
+
+    Texts without words, null or empty, have no shingle and a class of their own;
+    rows with a null id keep a null class and link nothing; rows that repeat an id
+    with another text are documents of their own in links. Ids are whole numbers;
+    extra columns are dropped; empty tables give empty results.
+    """
+    rows, classes, links = _linked_sets(docs, words, percent, id_col, text_col)
+    classes = classes.drop("copies")
     for c in ("a", "b"):
         links = links.join(classes.withColumnRenamed("node", c), c).drop(c).withColumnRenamed("class_id", c)
     whole = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
@@ -436,32 +468,86 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     return out, stage(links, "jaccard_class_links")
 
 
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, first_id, first_node, copies`` of every set: the smallest id of its group and the set that has it.
+
+    Groups connect sets, not ids: an id that two unlike texts share connects nothing.
+    """
+    found = components(links, "jaccard_components").select("node", "component")
+    named = classes.join(found, "node", "left").select(
+        "node", "class_id", "copies", F.coalesce("component", "node").alias("group")
+    )
+    first = named.groupBy("group").agg(F.min(F.struct("class_id", "node")).alias("first"))
+    return stage(
+        named.join(first, "group").select(
+            "node", F.col("first.class_id").alias("first_id"), F.col("first.node").alias("first_node"), "copies"
+        ),
+        "jaccard_groups",
+    )
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with what is known of their set's group. A set of very many copies is dealt
+    over several places; texts without words match nothing and are spread."""
+    keyed = rows.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    small = is_small(groups, Limits())
+    return lookup(
+        keyed, groups.drop("copies"), "node", spread=F.col("doc_id"), small=small,
+        hot=None if small else salts(groups, "node", "copies"),
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id reachable by links, itself included.
 
     Cases as in ``join_documents``; rows with a null id have a null component.
     """
-    rows, links = join_documents(docs, words, percent, id_col, text_col)
-    found = components(links, "jaccard_components").select(F.col("node").alias("class_id"), "component")
-    out = rows.join(found, "class_id", "left")
-    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"))
+    rows, classes, links = _linked_sets(docs, words, percent, id_col, text_col)
+    out = _with_group(rows, _grouped(classes, links))
+    reached = F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), reached).alias("component_id"))
+
+
+def _with_node(docs: DataFrame, text_col: str, words: int, node: str) -> DataFrame:
+    """The rows with the class of their text's set; null for texts without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, text_col):
+                sets = [shingles(t, words) for t in b.column(text_col).to_pylist()]
+                yield b.append_column(node, pa.array([digest(g) if len(g) else None for g in sets], pa.int64()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(node, LongType())]))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The given rows and columns, one document of each group of near duplicates: that of the smallest id.
 
-    Documents without words and rows with a null id all stay; of rows that repeat
-    an id one stays.
+    Documents without words and rows with a null id all stay. Rows that repeat an id
+    are told apart by their texts: one row of each group stays, the others go only if
+    their own text is in a group that keeps another. Of rows with one id and equal
+    sets that of the smallest digest of its text stays; of equal texts any. Columns
+    of any name pass through.
     """
-    found = stage(near_duplicates(docs, words, percent, id_col, text_col).select("doc_id", "component_id"), "jaccard_found")
-    kept = F.count_if(F.col("doc_id") == F.col("component_id"))
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(kept.alias("kept"), F.count("*").alias("rows"))
-    ids = stage(ids.filter("kept = 0 or rows > 1").withColumnRenamed("doc_id", "_id"), "jaccard_ids")
-    name = F.col("`" + id_col.replace("`", "``") + "`")
-    once = _among(docs, name.cast("long"), ids.select("_id"), "left_anti")
-    again = ids.filter("kept > 0").select("_id")
+    rows, classes, links = _linked_sets(docs, words, percent, id_col, text_col)
+    first = _grouped(classes, links)
+    best = (F.col("doc_id") == F.col("first_id")) & (F.col("node") == F.col("first_node"))
+    judged = _with_group(rows.filter("doc_id is not null"), first).select(
+        "doc_id", "node", "n", (best | (F.col("n") == 0)).alias("kept")
+    )
+    judged = stage(judged, "jaccard_judged")
+    ids = stage(judged.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")), "jaccard_ids")
+    name = quoted(id_col).cast("long")
+    once = _among(docs, name, ids.filter("kept = 0 or rows > 1").select("doc_id"), "left_anti")
+    again = ids.filter("kept > 0 and rows > 1").select("doc_id")
     if again.isEmpty():
         return once
-    return once.unionByName(_among(docs, name.cast("long"), again, "left_semi").dropDuplicates([id_col]))
+    node, own, at = fresh("node"), fresh("id"), fresh("at")
+    held = _with_node(_among(docs, name, again, "left_semi"), text_col, words, node)
+    good = judged.filter("kept and n > 0").select(F.col("doc_id").alias(own), F.col("node").alias(at)).distinct()
+    texts = held.join(good, (name == F.col(own)) & (F.col(node) == F.col(at)), "left_semi")
+    whole = F.struct(*(quoted(c).alias(c) for c in docs.columns))
+    one = texts.groupBy(name.alias(own), node).agg(F.min_by(whole, F.sha2(quoted(text_col), 256)).alias(at))
+    one = one.select(*(F.col(at).getField(c).alias(c) for c in docs.columns))
+    return once.unionByName(one).unionByName(held.filter(F.col(node).isNull()).drop(node))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall.sources.staging import stage
 
-__all__ = ["narrow", "read", "slices", "stage"]
+__all__ = ["fresh", "narrow", "quoted", "read", "slices", "small_batches", "stage"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +27,27 @@ def narrow(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 def _column(df: DataFrame, c: str | Column) -> Column:
-    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
+    return quoted(c) if isinstance(c, str) else c
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and blanks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let batches of rows for Python tasks hold about ``size`` bytes at most.
+
+    By default a batch may hold 64 MB, in the JVM's buffers and again in the
+    worker's; long texts in several tasks at once then take most of an executor.
+    A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    held = int(now.rstrip("kmg")) * unit
+    if held > size:
+        spark.conf.set(key, str(size))
 
 
 def slices(batch: pa.RecordBatch, text: str, chars: int = 1_000_000):

@@ -268,3 +268,46 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in once}
     assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.ORACLE_SQL is None and packing.SIZE == 4096
+
+
+def test_keep_one_tells_repeated_ids_apart(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(5, a, 1), (5, b, 2), (6, b + " more", 3), (7, c, 4), (3, c + " end", 5), (7, a, 6), (8, "", 7), (8, None, 8),
+            (8, "", 9), (None, a, 10), (9, c, 11), (5, b.upper(), 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    kept = sorted(r["_id"] for r in jaccard.keep_one(df.repartition(3)).collect())
+    # Both texts of id 5 stay, one of the two rows with b; c's copies go for the text of id 3.
+    assert [k for k in kept if k not in (2, 12)] == [1, 5, 7, 8, 9, 10] and len([k for k in kept if k in (2, 12)]) == 1
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
+    # Unlike texts under one id connect nothing.
+    assert got == {(5, 5), (6, 5), (7, 3), (3, 3), (7, 5), (8, 8), (None, None), (9, 3)}
+
+
+def test_jaccard_check_streams_and_salts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 2)
+    grams = {i: np.arange(i, i + 100, dtype=np.uint64) for i in range(0, 30)}
+    sets = spark.createDataFrame([(i, bytearray(g.tobytes())) for i, g in grams.items()], "node long, grams binary")
+    pairs = [(i, j) for i in (0, 1, 7) for j in range(i + 1, 30)]
+    got = sorted(tuple(r) for r in jaccard._check(spark.createDataFrame(pairs, "a long, b long"), sets, 80).collect())
+    assert got == [(i, j) for i, j in pairs if 100 * (100 - j + i) >= 80 * (100 + j - i)]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    a = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, f"{a} mail me at jo@example.org", 5, "n", 1, "x"), (2, f"{a} mail me at jo@example.org", 5, "n", 2, "y"),
+            (3, None, None, None, 3, "z"), (4, "", 0, "", 4, ""), (None, "no id", 5, "", 5, ""), (9, "long text " * 50_000, 1, "", 6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _new string, _id int, `a.b` string")
+    one = corpus_pipeline.deduplicate(spark, df, "")
+    assert one.columns == df.columns and sorted(r["_id"] for r in one.collect()) == [1, 3, 4, 5, 6]
+    masked = corpus_pipeline.pseudonymise(spark, one, "")
+    assert masked.columns == df.columns and masked.dtypes == df.dtypes
+    by = {r["_id"]: r for r in masked.collect()}
+    assert by[1]["_new"] == "n" and "jo@example.org" not in by[1]["text"] and by[1]["n_chars"] == len(by[1]["text"])
+    assert by[3]["text"] is None and by[1]["a.b"] == "x" and by[6]["n_chars"] == 1
+    empty = corpus_pipeline.pack(spark, corpus_pipeline.pseudonymise(spark, corpus_pipeline.deduplicate(spark, df.limit(0), ""), ""), "")
+    assert empty.count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, masked, "").collect()} == {1, 3, 4, None, 9}

@@ -8,32 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import jaccard, packing, pii, quality
-from rollcall.llm.tables import read, stage
+from rollcall.llm.tables import fresh, quoted, read, small_batches, stage
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; empty texts are judged like all others."""
+    small_batches(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares at least 0.8 of its runs of five words."""
+    """One document of each group that shares at least 0.8 of its runs of five words.
+
+    Texts without words and null ids stay; repeated ids are told apart by their texts.
+    """
     return jaccard.keep_one(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms; ``n_chars`` follows a changed text."""
-    masked = docs.withColumn("_new", pii.pseudonymise(F.col("text"), "corpus"))
-    changed = ~F.col("_new").eqNullSafe(F.col("text"))
-    columns = {"text": F.col("_new")}
+    """Personal data replaced by pseudonyms; ``n_chars`` follows a changed text.
+
+    Null texts stay null; all other columns pass through under their own names.
+    """
+    new = fresh("new")
+    masked = docs.withColumn(new, pii.pseudonymise(F.col("text"), "corpus"))
+    columns = {c: quoted(c) for c in docs.columns} | {"text": F.col(new)}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        columns["n_chars"] = F.when(changed, F.length("_new").cast(kind)).otherwise(F.col("n_chars"))
-    return masked.withColumns(columns).select(*docs.columns)
+        changed = ~F.col(new).eqNullSafe(F.col("text"))
+        columns["n_chars"] = F.when(changed, F.length(new).cast(kind)).otherwise(F.col("n_chars"))
+    return masked.select(*(c.alias(name) for name, c in columns.items()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents with their places in sequences of 4096."""
+    """Token ids of all documents with their places in sequences of 4096; null texts have the end id alone."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

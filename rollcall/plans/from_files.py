@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.constants import DELIMITED_EXTENSIONS, WORKBOOK_EXTENSIONS
 from rollcall.operators.decisions import Decisions
 from rollcall.operators.lookup import Limits, is_small
+from rollcall.operators.ordinals import running_start
 from rollcall.operators.report import severity
 from rollcall.operators.schema import (
     find_headers,
@@ -79,12 +80,11 @@ def ordered(lines: DataFrame, inputs: DataFrame, limits: Limits = Limits()) -> D
     """Lines with their file and ``ord``, one number for (file, sheet, line).
 
     Each sheet gets the range after the sheets before it, from the highest
-    line number of every sheet; one window row per sheet.
+    line number of every sheet, summed range by range.
     """
     sizes = lines.groupBy("plain", "sheet_ord").agg((F.max("row_idx") + 1).alias("n_rows"))
     placed = sizes.join(inputs.select("plain", "file_ord", "file"), "plain")
-    before = Window.orderBy("file_ord", "sheet_ord").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.withColumn("base", F.coalesce(F.sum("n_rows").over(before), F.lit(0))).drop("n_rows")
+    bases = running_start(placed, ["file_ord", "sheet_ord"], "n_rows", "base").drop("n_rows")
     bases = stage(bases, "sheet_bases")
     bases = F.broadcast(bases) if is_small(bases, limits) else bases
     return lines.join(bases, ["plain", "sheet_ord"]).select(

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from rollcall.constants import UTF7_PATTERN
+from rollcall.functions.utf7 import decode_utf7
 from rollcall.operators.lookup import Limits, is_small
 from rollcall.sources.inputs import literal, plain_path
 from rollcall.sources.staging import stage
@@ -78,19 +77,6 @@ def latin1() -> Column:
     return F.decode("raw", "ISO-8859-1")
 
 
-@F.pandas_udf(StringType())
-def _decode_utf7(raw: pd.Series) -> pd.Series:
-    def one(line: bytes | None) -> str | None:
-        if line is None:
-            return None
-        try:
-            return bytes(line).decode("utf-7")
-        except UnicodeDecodeError:
-            return None
-
-    return raw.map(one)
-
-
 def _outside_quotes(c: Column | str) -> Column:
     return F.regexp_replace(c, '"[^"]*"', "")
 
@@ -178,7 +164,7 @@ def with_utf7(lines: DataFrame, profiles: DataFrame) -> DataFrame:
         return profiles
     decodes = (
         lines.join(shifted, "plain", "left_semi")
-        .select("plain", _decode_utf7("raw").alias("text"))
+        .select("plain", decode_utf7(F.col("raw")).alias("text"))
         .groupBy("plain")
         .agg(F.bool_and(F.col("text").isNotNull()).alias("is_utf7"))
     )
@@ -188,18 +174,14 @@ def with_utf7(lines: DataFrame, profiles: DataFrame) -> DataFrame:
     ).drop("is_utf7")
 
 
-def decoded(lines: DataFrame, any_utf7: bool) -> DataFrame:
-    """Text of each line; Python sees only the lines of UTF-7 files."""
+def decoded(lines: DataFrame) -> DataFrame:
+    """Text of each line by the encoding of its file."""
     text = (
         F.when(F.col("encoding") == "utf-8", F.col("raw").cast("string"))
         .when(F.col("encoding") == "cp1252", F.translate(latin1(), C1, CP1252))
         .when(F.col("encoding") == "latin-1", latin1())
+        .when(F.col("encoding") == "utf-7", decode_utf7(F.col("raw")))
     )
-    if any_utf7:
-        lines = lines.withColumn(
-            "shifted_text", _decode_utf7(F.when(F.col("encoding") == "utf-7", F.col("raw")))
-        )
-        text = F.coalesce(text, F.col("shifted_text"))
     text = F.when(F.col("row_idx") == 0, F.ltrim(text, F.lit(BYTE_ORDER_MARK))).otherwise(text)
     return lines.withColumn("text", text)
 
@@ -300,14 +282,14 @@ def scan_delimited(
     lines = placed(raw, where, few)
     profiles = stage(with_utf7(lines, profile(lines)), "profiles")
     known = F.broadcast(profiles) if is_small(profiles, limits) else profiles
-    kinds = profiles.agg(F.bool_or(F.col("encoding") == "utf-7"), F.bool_or("open_quote")).first()
+    any_open = profiles.agg(F.bool_or("open_quote")).first()[0]
     lines = lines.join(known, "plain")
     plain = lines.where(~F.col("open_quote"))
-    text = decoded(plain, bool(kinds[0])).select("plain", "delimiter", "row_idx", "text")
-    if kinds[1]:
+    text = decoded(plain).select("plain", "delimiter", "row_idx", "text")
+    if any_open:
         first = F.col("opens") & (F.col("n") == F.col("first_n"))
         every = raw.join(F.broadcast(where) if few else where, ["plain", "block"]).join(known, "plain")
         every = every.where("open_quote").withColumn("row_idx", F.when(first, 0).otherwise(1))
-        quoted = joined_lines(records(decoded(every, bool(kinds[0]))))
+        quoted = joined_lines(records(decoded(every)))
         text = text.unionByName(quoted)
     return text.select("plain", "row_idx", split_line("text", "delimiter").alias("cells")), profiles

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from rollcall.constants import DELIMITED_EXTENSIONS, WORKBOOK_EXTENSIONS
 
 SCHEMA = "file_ord int, path string, file string, length bigint, plain string, ext string"
+# Files of one folder from which on one listing is cheaper than a question per file.
+LISTED_AT = 16
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
 
 
@@ -46,6 +48,28 @@ def children(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return [(f.getPath().toString(), f.getLen()) for f in store.listStatus(status.getPath()) if f.isFile()]
 
 
+def lengths(spark: SparkSession, paths: list[str]) -> list[tuple[str, int | None]]:
+    """Paths with their lengths, null where there is no such file.
+
+    A folder named by many paths is listed once instead of asked for each file.
+    """
+    by_folder: dict[str, set[str]] = {}
+    for path in paths:
+        by_folder.setdefault(posixpath.dirname(path), set()).add(path)
+    known: dict[str, int | None] = {}
+    for folder, inside in by_folder.items():
+        if len(inside) >= LISTED_AT:
+            _, status = _status(spark, folder)
+            there = children(spark, folder) if status is not None and status.isDirectory() else []
+            found = {posixpath.basename(p): n for p, n in there}
+            known |= {p: found.get(posixpath.basename(p)) for p in inside}
+            continue
+        for path in inside:
+            _, status = _status(spark, path)
+            known[path] = status.getLen() if status is not None and status.isFile() else None
+    return [(p, known[p]) for p in paths]
+
+
 def extension(name: str) -> str:
     found = re.search(r"\.[^./]*$", name)
     return found[0].lower() if found else ""
@@ -68,10 +92,7 @@ def list_inputs(
     def absolute(p: str) -> str:
         return p if "://" in p or p.startswith("file:") else posixpath.normpath(posixpath.join(base, p))
 
-    listed: list[tuple[str, int | None]] = []
-    for path in map(absolute, files or []):
-        _, status = _status(spark, path)
-        listed.append((path, status.getLen() if status is not None and status.isFile() else None))
+    listed: list[tuple[str, int | None]] = lengths(spark, [absolute(f) for f in files or []])
     if folder is not None:
         known = DELIMITED_EXTENSIONS + WORKBOOK_EXTENSIONS
         inside = [c for c in children(spark, absolute(folder).rstrip("/")) if extension(c[0]) in known]

@@ -8,6 +8,7 @@ from rollcall.checks import fixtures as fx
 from rollcall.checks import match_checks as mc
 from rollcall.checks.files import new_inputs, write_files
 from rollcall.checks.registry import check
+from rollcall.operators.decisions import Decisions
 from rollcall.plans import from_files as ff
 from rollcall.plans.reconcile import Params, reconcile
 from rollcall.sources.inputs import list_inputs
@@ -216,3 +217,196 @@ def sink_roundtrip(spark, sf):
     return spark.read.csv(folder, header=True, escape='"')
 
 
+
+
+MIXED = f"f as (select distinct file, regexp_extract(lower(file), '(\\.[a-z]*)$', 1) as ext from ({SUPPLIERS}))"
+
+
+@check(
+    "list_inputs_mixed",
+    f"""
+    with {MIXED}, given as (
+      select file, ext, false as missing, row_number() over (order by file desc) as nth from f where ext in ('.json', '.csv')
+      union all select 'gone.csv', '.csv', true, 0),
+    placed as (
+      select 0 as part, nth, file, ext, missing from given
+      union all select 1, row_number() over (order by file), file, ext, false from f where ext not in ('.json', '.csv'))
+    select row_number() over (order by part, nth) - 1 as file_ord, file, ext, missing from placed
+    """,
+)
+def list_inputs_mixed(spark, sf):
+    """Files named one by one, some twice, one missing, one of an unread kind, then the rest of their folder."""
+    folder = _suppliers(spark, sf)
+    names = [r.path for r in spark.read.format("binaryFile").load(f"{folder}/*").select("path").collect()]
+    named = sorted((n for n in names if n.endswith((".json", ".csv"))), reverse=True)
+    inputs = list_inputs(spark, folder, ["gone.csv", *named, "./gone.csv", *named[:1]], ".")
+    return inputs.select(
+        F.col("file_ord").cast("bigint").alias("file_ord"), "file", "ext", F.col("length").isNull().alias("missing")
+    )
+
+
+# Quotes inside cells, which open nothing; after them, in odd chunks, one at the start of a cell that no line closes.
+STRAY = """
+select 'y' || lpad(cast(cast(floor(c_custkey / 40) as bigint) as string), 8, '0') || '.csv' as file, c_custkey as key,
+  cast(c_custkey as string) as id, c_mktsegment || case when c_custkey % 40 < 37 then ' 5" disk' else '' end as first_name,
+  case when c_custkey % 80 = 77 then '"' else '' end || c_name as last_name, cast(c_custkey % 20 as string) as val
+from customer
+"""
+
+
+@check("scan_stray_quote", f"select file, key, id, first_name, last_name, val from ({STRAY})")
+def scan_stray_quote(spark, sf):
+    fx.register(spark, sf, "customer")
+    rows = spark.sql(STRAY).select(
+        "file", F.lit("").alias("sheet"), F.lit("raw").alias("encoding"), F.lit(";").alias("delimiter"), "key",
+        F.array("id", "first_name", "last_name", "val").alias("cells"),
+    )
+    folder = new_inputs(spark, "stray")
+    write_files(rows, [HEAD], folder)
+    lines, _ = ff.scan(spark, list_inputs(spark, "/", folder=folder))
+    cell = lambda i: F.get("cells", F.lit(i))
+    return lines.where("row_idx >= 1").select(
+        F.regexp_extract("plain", "([^/]+)$", 1).alias("file"), cell(0).cast("bigint").alias("key"),
+        cell(0).alias("id"), cell(1).alias("first_name"), cell(2).alias("last_name"), cell(3).alias("val"),
+    )
+
+
+# Two suppliers to a file; each file shows one way in which a file or sheet may be settled or fail.
+PROBLEMS = {
+    "plain": (".csv", [""], HEAD, []),
+    "ids": (".txt", [""], ["Numero", "Numero etudiant", "Nom", "Note"], ["ambiguous_role", "first_match_used"]),
+    "prefix": (".csv", [""], [*HEAD[:3], "Note /20"], ["value_by_prefix"]),
+    "prefixes": (".tsv", [""], [HEAD[0], HEAD[2], "Note /20", "Note /23"], ["value_ambiguous_prefix", "sheet_no_value_column"]),
+    "content": (".csv", [""], [*HEAD[:3], "Partiel"], ["value_by_content"]),
+    "none": (".csv", [""], [*HEAD[:2], "Sujet", "Salle"], ["value_none", "sheet_no_value_column"]),
+    "unkeyed": (".csv", [""], ["Foo", "Bar", "Baz", "Note"], ["sheet_no_key_column"]),
+    "empty": (".csv", [""], HEAD, ["empty_sheet"]),
+    "books": (".xlsx", ["A", "B"], HEAD, ["sheet_processing"]),
+    "chosen": (".ods", ["A", "B"], HEAD, ["sheet_processing"]),
+    "refused": (".xlsx", ["A", "B"], HEAD, []),
+    "useless": (".ods", ["A", "B"], ["Foo", "Bar", "Baz", "Bat"], []),
+    "damaged": (".bad.xlsx", [""], HEAD, []),
+}
+OF_FILE = {"books": "all_sheets_used", "chosen": "saved_sheets_used", "refused": "saved_sheets_used,no_sheet_selected",
+           "useless": "no_valid_sheet", "damaged": "unreadable"}
+KINDS = list(PROBLEMS)
+PICKED = " ".join(f"when {i} then '{k}{PROBLEMS[k][0]}'" for i, k in enumerate(KINDS))
+PROBLEM_ROWS = f"""
+select 'p' || lpad(cast(cast(floor(s_suppkey / 2) as bigint) as string), 8, '0') || '-' ||
+    case cast(floor(s_suppkey / 2) as bigint) % {len(KINDS)} {PICKED} end as file,
+  cast(floor(s_suppkey / 2) as bigint) % {len(KINDS)} as kind, s_suppkey as key, s_name as name from supplier
+"""
+
+
+def _told(kind: int, sheet: str, codes: list[str]) -> list[str]:
+    return [f"({kind}, '{sheet}', '{c}')" for c in codes]
+
+
+TOLD = ", ".join(
+    v for i, k in enumerate(KINDS)
+    for v in [*_told(i, "", [c for c in OF_FILE.get(k, "").split(",") if c]),
+              *(w for s in PROBLEMS[k][1] if not (k == "chosen" and s == "B") for w in _told(i, s, PROBLEMS[k][3]))]
+)
+
+
+@check(
+    "issues_files",
+    f"""
+    select distinct file, sheet, code, case when code in ('saved_sheets_used') then 'dim'
+        when code in ('all_sheets_used', 'no_valid_sheet', 'first_match_used', 'value_by_prefix', 'value_by_content', 'value_none',
+          'sheet_processing') then 'info' else 'warn' end as severity
+    from ({PROBLEM_ROWS}) p join (values {TOLD}) t(kind, sheet, code) on p.kind = t.kind
+    """,
+)
+def issues_files(spark, sf):
+    """Issue codes of files and of sheets, each kind of file in turn."""
+    fx.register(spark, sf, "supplier")
+    made = spark.sql(PROBLEM_ROWS)
+    text = lambda values: F.array(*(F.lit(v) for v in values))
+    heads, sheets = F.lit(None), F.lit(None)
+    for i, k in enumerate(KINDS):
+        heads = F.when(F.col("kind") == i, text(PROBLEMS[k][2])).otherwise(heads)
+        sheets = F.when(F.col("kind") == i, text(PROBLEMS[k][1])).otherwise(sheets)
+    first = made.groupBy("file", "kind").agg(F.lit(-1).cast("bigint").alias("key")).withColumn("cells", heads)
+    number = (F.col("key") % 20).cast("string")
+    body = made.where(F.col("kind") != KINDS.index("empty")).select(
+        "file", "kind", F.col("key").cast("bigint").alias("key"),
+        F.when(F.col("kind") == KINDS.index("none"), F.array(F.lit("i"), "name", "name", "name"))
+        .otherwise(F.array(F.col("key").cast("string"), "name", "name", number)).alias("cells"),
+    )
+    rows = first.unionByName(body).select(
+        "file", F.explode(sheets).alias("sheet"), F.lit("utf-8").alias("encoding"), F.lit(";").alias("delimiter"),
+        "key", "cells",
+    )
+    folder = new_inputs(spark, "problems")
+    write_files(rows, [], folder)
+    choice = F.when(F.col("kind") == KINDS.index("chosen"), "A")
+    answered = made.where(F.col("kind").isin(KINDS.index("chosen"), KINDS.index("refused")))
+    answers = Decisions(sheet_selection=answered.select("file", choice.alias("sheet")).distinct())
+    inputs = list_inputs(spark, "/", folder=folder)
+    return ff.observe_files(spark, inputs, answers).issues.select("file", "sheet", "code", "severity")
+
+
+# A whole run with a workbook as roster: nations are the members, so each has a large share of all rows.
+NATIONS = """
+select cast(n_nationkey as string) as id, n_name as first_name, r_name as last_name,
+  'n' || cast(n_nationkey as string) || '@example.org' as email, n_nationkey as ord
+from nation join region on n_regionkey = r_regionkey
+"""
+VOTES = f"""
+select 'v' || lpad(cast(cast(floor(c_custkey / 500) as bigint) as string), 8, '0') ||
+    case cast(floor(c_custkey / 500) as bigint) % 3 when 0 then '.csv' when 1 then '.xlsx' else '.ods' end as file,
+  cast(floor(c_custkey / 500) as bigint) as chunk, c_custkey as key,
+  case when c_custkey % 5 = 0 then null when c_custkey % 37 = 0 then 'X' || n.id else n.id end as id_raw,
+  case when c_custkey % 7 = 0 then 'Autre' when c_custkey % 10 = 5 then n.last_name else n.first_name end as first_raw,
+  case when c_custkey % 10 = 5 and c_custkey % 7 <> 0 then n.first_name else n.last_name end as last_raw,
+  case when c_custkey % 3 = 0 then '' when c_custkey % 11 = 3 then 'ABS' when c_custkey % 17 = 2 then '15/20'
+    when c_custkey % 19 = 4 then 'Malade' else cast(c_custkey * 7 % 30 - 3 as string) || ',5' end as value_raw
+from customer join ({NATIONS}) n on n.id = cast(c_nationkey as string)
+"""
+RUN_SQL = f"""
+with roster as ({NATIONS}), v as (select * from ({VOTES})),
+matched as (
+  select v.*, case
+    when r.id is not null and first_raw = r.first_name and last_raw = r.last_name then r.id
+    when r.id is not null and first_raw = r.last_name and last_raw = r.first_name then r.id
+    when r.id is not null then case when cast(r.id as int) % 3 = 0 then null else r.id end
+    else coalesce(a.id, b.id) end as member
+  from v left join roster r on r.id = v.id_raw
+    left join roster a on a.first_name = first_raw and a.last_name = last_raw
+    left join roster b on b.first_name = last_raw and b.last_name = first_raw),
+valued as (select *, value_raw in ('ABS', 'Malade') as gone, try_cast(replace(value_raw, ',', '.') as double) as num from matched),
+clamped as (select *, case when num > 20 and chunk % 2 = 0 then 20.0 else num end as val from valued),
+firsts as (select *, row_number() over (partition by member order by file, key) as rn
+  from clamped where member is not null and (num is not null or gone))
+select r.id, r.email, r.first_name, r.last_name, case when not f.gone then f.val end as value,
+  coalesce(f.gone, false) as is_absent, f.file as source
+from roster r left join firsts f on f.member = r.id and f.rn = 1
+"""
+
+
+@check("run_from_workbook", RUN_SQL)
+def run_from_workbook(spark, sf):
+    """Roster, files, saved answers and bounds, all from files, in one call."""
+    fx.register(spark, sf, "nation", "region", "customer")
+    members, votes = spark.sql(NATIONS), spark.sql(VOTES)
+    made = lambda df, file, sheet, key, cells: df.select(
+        file.alias("file"), F.lit(sheet).alias("sheet"), F.lit("utf-8").alias("encoding"), F.lit(";").alias("delimiter"),
+        key.cast("bigint").alias("key"), F.array(*cells).alias("cells"),
+    )
+    base, folder = new_inputs(spark, "roster"), new_inputs(spark, "votes")
+    listed = made(members, F.lit("roster.xlsx"), "Liste", F.col("ord"), ["id", "first_name", "last_name", "email"])
+    write_files(listed, [["Liste de l'année", "", "", ""], ["Numero", "Prénom", "Nom", "Courriel"]], base)
+    cells = ["id_raw", "first_raw", "last_raw", "value_raw"]
+    write_files(made(votes, F.col("file"), "", F.col("key"), cells), [TITLE, HEAD], folder)
+    decisions = Decisions(
+        name_decisions=votes.join(members.select("id"), F.col("id_raw") == F.col("id")).where("try_cast(id as int) % 3 = 0")
+        .select("file", "id", F.lit(False).alias("answer")).distinct(),
+        absent_tokens=members.groupBy().agg(F.lit("Malade").alias("token")),
+        clamp_choices=votes.where("chunk % 2 = 0").select(
+            "file", F.lit("").alias("sheet"), F.lit("above").alias("direction"), F.lit(True).alias("answer")).distinct(),
+    )
+    run = ff.reconcile_files(
+        spark, f"{base}/roster.xlsx", folder=folder, decisions=decisions, params=Params(min_value=-5, max_value=20)
+    )
+    return run.consolidated.drop("roster_ord")

@@ -24,6 +24,8 @@ PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
 def csv_bytes(rows: list[list[str]], delimiter: str, encoding: str) -> bytes:
+    if encoding == "raw":  # cells as they stand, quotes and all
+        return "".join(delimiter.join(c or "" for c in r) + "\n" for r in rows).encode()
     out = io.StringIO()
     csv.writer(out, delimiter=delimiter, lineterminator="\r\n").writerows(rows)
     return out.getvalue().encode(encoding)

@@ -70,6 +70,8 @@ ACCOUNTS = (
 NEVER = "(?!)"
 #: Days from 1900-01-01 to 2099-12-31: 17 x 4297.
 _DAYS, _PARTS = 73049, (17, 4297)
+#: Valid areas times valid rests of social-security numbers and of local phone numbers.
+_SSNS, _PHONES = (898, 99 * 9999), (800, 8_000_000)
 
 
 def _round(key: str, kind: str, i: Column, width: Column, half: Column) -> Column:
@@ -202,11 +204,38 @@ def _phone(text: Column, key: str) -> Column:
     rest = F.substring(text, F.length(land) + 1, F.length(text))
     digits = _digits(rest)
     enough = F.length(digits).between(7, 15)
-    return F.when(enough, F.concat(land, _put_back(rest, permute_digits(digits, key, "phone")))).otherwise(text)
+    abroad = F.when(enough, F.concat(land, _put_back(rest, permute_digits(digits, key, "phone")))).otherwise(text)
+    return F.when(text.startswith("+"), abroad).otherwise(_local_phone(text, key))
+
+
+def _number(digits: Column, at: int, length: int) -> Column:
+    return F.substring(digits, at, length).cast("long")
+
+
+def _padded(c: Column, length: int) -> Column:
+    return F.lpad(c.cast("string"), length, "0")
+
+
+def _local_phone(text: Column, key: str) -> Column:
+    """Area and exchange stay between 200 and 999: each number is permuted by its rank among the valid ones."""
+    digits, size = _digits(text), _PHONES
+    moved = permute(_number(digits, 1, 3) - 200, _number(digits, 4, 7) - 2_000_000,
+                    F.lit(size[0]).cast("long"), F.lit(size[1]).cast("long"), key, "local")
+    back = lambda s: F.concat(_padded(s["a"] + 200, 3), _padded(s["b"] + 2_000_000, 7))
+    return _put_back(text, F.transform(F.array(moved), back)[0])
 
 
 def _ssn(text: Column, key: str) -> Column:
-    return _put_back(text, permute_digits(_digits(text), key, "ssn"))
+    """Permuted by rank among the valid ones: no area 000, 666 or 9xx, no group 00, no serial 0000."""
+    digits, size = _digits(text), _SSNS
+    area = _number(digits, 1, 3)
+    rank = area - F.when(area > 666, 2).otherwise(1)
+    low = (_number(digits, 4, 2) - 1) * 9999 + _number(digits, 6, 4) - 1
+    moved = permute(rank, low, F.lit(size[0]).cast("long"), F.lit(size[1]).cast("long"), key, "ssn")
+    back = lambda s: F.concat(
+        _padded(s["a"] + F.when(s["a"] >= 665, 2).otherwise(1), 3),
+        _padded(F.floor(s["b"] / 9999) + 1, 2), _padded(s["b"] % 9999 + 1, 4))
+    return _put_back(text, F.transform(F.array(moved), back)[0])
 
 
 def _email(text: Column, key: str) -> Column:
@@ -296,7 +325,7 @@ def pseudonymise(text: Column, key: str) -> Column:
     return F.when(text.rlike("[0-9@]"), out).otherwise(text)
 
 
-def mask_documents(docs: DataFrame, key: str = "rollcall", text_col: str = "text") -> DataFrame:
+def mask_documents(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The given rows and columns with ``text_col`` pseudonymised.
 
     Null and empty texts stay; every row is worked on by itself, so ties, repeated

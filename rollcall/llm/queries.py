@@ -40,7 +40,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_pii")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.mask_documents(read(spark, folder, "documents")).select("doc_id", "text")
+    return pii.mask_documents(read(spark, folder, "documents"), key="rollcall").select("doc_id", "text")
 
 
 @query("op9_urls")

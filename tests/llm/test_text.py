@@ -77,8 +77,8 @@ def test_permutation_is_one_to_one(spark):
 def test_mask_keeps_rows_and_columns(spark):
     rows = [(1, "a@b.example", "x"), (1, "a@b.example", "x"), (None, None, None), (2, "word " * 50000 + "1.2.3.4", "long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _new string")
-    out = pii.mask_documents(docs)
-    assert out.schema == docs.schema and out.count() == 4 and pii.mask_documents(docs.limit(0)).count() == 0
+    out = pii.mask_documents(docs, "k")
+    assert out.schema == docs.schema and out.count() == 4 and pii.mask_documents(docs.limit(0), "k").count() == 0
     assert "1.2.3.4" not in out.filter("_new = 'long'").first()["text"]
     assert {r["kind"] for r in pii.findings(docs).collect()} == {"email", "ip"}
 

@@ -62,10 +62,11 @@ def scan(
         .otherwise("no data in the file").alias("error"),
     )
     if text:
-        cells, _ = scan_delimited(spark, text, limits)
+        cells, too_long = scan_delimited(spark, text, limits)
         lines = lines.unionByName(
             cells.select("plain", F.lit(0).alias("sheet_ord"), F.lit("").alias("sheet"), "row_idx", "cells")
         )
+        errors = errors.unionByName(too_long)
     if books:
         rows = stage(scan_workbooks(spark, books), "workbooks")
         failed = rows.where("error is not null").select("plain", "error")

@@ -29,6 +29,10 @@ CP1252 = "".join(bytes([ord(c)]).decode("cp1252", "ignore") or c for c in C1)
 
 
 BLANKS = " \t\x0b\x0c\x00"
+# Lines to a mask of bits.
+WORD = 64
+#: Longest record that is put together from lines; a file with a longer one is reported.
+RECORD_BYTES = 256 * 1024 * 1024
 
 
 def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -207,37 +211,100 @@ def split_line(text: Column | str, delimiter: Column | str) -> Column:
     return F.when(quoted, F.transform(out, unquote)).otherwise(out)
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Lines with ``record``, the number in its file of the record they belong to.
+def _bit(k: Column | str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(k) if isinstance(k, str) else k)
 
-    A line maps the state it begins in, inside quotes or outside, to the one it
-    ends in: it keeps it, turns it round, or fixes it. The state before a line is
-    that of the last line that fixed it, turned round as often as lines since then
-    do so. This is worked out within each split, then over the splits of a file. A
-    quote that no later line closes opens nothing: its line is taken as it stands.
+
+def _below(k: Column) -> Column:
+    """All bits below bit ``k``."""
+    return F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), k))
+
+
+def _has(mask: Column | str, k: Column | str) -> Column:
+    """Bit ``k`` of a mask, 0 or 1."""
+    mask, k = (F.col(c) if isinstance(c, str) else c for c in (mask, k))
+    return F.call_function("shiftrightunsigned", mask, k).bitwiseAND(F.lit(1).cast("bigint"))
+
+
+def _in_word(lines: DataFrame) -> DataFrame:
+    """Lines with their word, 64 numbers in a row, and their bit in it."""
+    return lines.withColumns(
+        {"word": F.shiftright("n", 6), "k": F.col("n").bitwiseAND(F.lit(WORD - 1)).cast("int")}
+    )
+
+
+def _through(start: int) -> Column:
+    """From one state before a word: the lines of it that begin inside quotes, and the state after it."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("inside"), F.lit(start).cast("bigint").alias("state"))
+
+    def step(seen: Column, k: Column) -> Column:
+        inside = seen["state"] == 1
+        return F.struct(
+            F.when(inside, seen["inside"].bitwiseOR(_bit(k))).otherwise(seen["inside"]).alias("inside"),
+            F.when(inside, _has("open1", k)).otherwise(_has("open0", k)).alias("state"),
+        )
+
+    same = F.struct(F.lit(-start).cast("bigint").alias("inside"), F.lit(start).cast("bigint").alias("state"))
+    calm = (F.col("open0") == 0) & (F.lit(start == 0) | (F.col("open1") == -1))
+    return F.when(calm, same).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(WORD - 1)), zero, step))
+
+
+def _words(lines: DataFrame, small: bool) -> DataFrame:
+    """Per word, one bit for each line: present, blank, and the state it ends in from either state.
+
+    A quote that no later line of the file closes opens nothing.
     """
-    place = F.struct("block", "n")
-    lines = lines.withColumns(
-        {"open0": by_delimiter(lambda d: opens(F.col("text"), d)), "open1": by_delimiter(lambda d: stays_open(F.col("text"), d))}
+    flags = {
+        "present": F.lit(True),
+        "blank": F.col("blank"),
+        "open0": by_delimiter(lambda d: opens(F.col("text"), d)),
+        "open1": by_delimiter(lambda d: stays_open(F.col("text"), d)),
+    }
+    none = F.lit(0).cast("bigint")
+    words = _in_word(lines).groupBy("plain", "block", "word").agg(
+        F.min("n").alias("first_n"),
+        *(F.bit_or(F.when(c, _bit("k")).otherwise(none)).alias(name) for name, c in flags.items()),
     )
-    closers = lines.where("not open1").groupBy("plain").agg(F.max(place).alias("last_close"))
-    lines = lines.join(closers, "plain", "left").withColumn(
-        "open0", F.col("open0") & F.coalesce(place < F.col("last_close"), F.lit(False))
+    words = words.withColumn("shuts", F.col("present").bitwiseAND(F.bitwise_not("open1")))
+    highest = F.length(F.bin("shuts")) - 1
+    last = words.where("shuts <> 0").groupBy("plain").agg(F.max(F.struct("block", "word", highest.alias("k"))).alias("last"))
+    words = words.join(F.broadcast(last) if small else last, "plain", "left")
+    place, end = F.struct("block", "word"), F.struct("last.block", "last.word")
+    closed = (
+        F.when(place < end, F.col("open0"))
+        .when(place == end, F.col("open0").bitwiseAND(_below(F.col("last.k"))))
+        .otherwise(none)
     )
-    lines = lines.withColumns(
-        {
-            "turn": (F.col("open0") & ~F.col("open1")).cast("int"),
-            "fix": F.when(F.col("open0") == F.col("open1"), F.col("open0").cast("int")),
-        }
+    # Numbers that are not lines of this split change nothing.
+    return words.withColumns(
+        {"open0": closed, "open1": F.col("open1").bitwiseOR(F.bitwise_not("present"))}
+    ).drop("shuts", "last")
+
+
+def numbered_words(lines: DataFrame, small: bool) -> DataFrame:
+    """Words with masks of their lines: ``inside`` quotes at their beginning, ``begun`` a
+    record, left ``open`` by it; ``base`` counts the records of the file before the word.
+
+    A line maps the state it begins in, inside quotes or outside, to the one it
+    ends in: it keeps it, turns it round, or fixes it. So does a word, and a split. The
+    state before a unit is that of the last one that fixed it, turned round as often as
+    units since then do so: within each split over words, then over the splits of a
+    file. Only masks are shuffled, never text: a word is some 50 bytes.
+    """
+    words = _words(lines, small)
+    words = words.withColumns({"from0": _through(0), "from1": _through(1)})
+    end0, end1 = F.col("from0.state"), F.col("from1.state")
+    words = words.withColumns(
+        {"turn": ((end0 == 1) & (end1 == 0)).cast("int"), "fix": F.when(end0 == end1, end0)}
     )
-    of_split = Window.partitionBy("plain", "block").orderBy("n")
+    of_split = Window.partitionBy("plain", "block").orderBy("word")
     upto, before = (of_split.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
-    lines = lines.withColumn("turns", F.sum("turn").over(upto))
+    words = words.withColumn("turns", F.sum("turn").over(upto))
     mark = F.when(F.col("fix").isNotNull(), F.struct("fix", "turns"))
-    lines = lines.withColumn("fixed", F.last(mark, ignorenulls=True).over(before))
+    words = words.withColumn("fixed", F.last(mark, ignorenulls=True).over(before))
     # What a whole split does to the state.
-    done = lines.groupBy("plain", "block").agg(
-        F.sum("turn").alias("all_turns"), F.max(F.when(mark.isNotNull(), F.struct("n", "fix", "turns"))).alias("end")
+    done = words.groupBy("plain", "block").agg(
+        F.sum("turn").alias("all_turns"), F.max(F.when(mark.isNotNull(), F.struct("word", "fix", "turns"))).alias("end")
     ).withColumns(
         {
             "s_fix": F.when(F.col("end").isNotNull(), (F.col("end.fix") + F.col("all_turns") - F.col("end.turns")) % 2),
@@ -251,45 +318,90 @@ def records(lines: DataFrame) -> DataFrame:
     done = done.withColumn("s_fixed", F.last(s_mark, ignorenulls=True).over(file_before))
     turned = F.col("s_turns") - F.col("s_turn")
     start = F.coalesce(F.col("s_fixed.s_fix") + turned - F.col("s_fixed.s_turns"), turned) % 2
-    lines = lines.join(done.select("plain", "block", start.alias("start")), ["plain", "block"])
+    words = words.join(done.select("plain", "block", start.alias("start")), ["plain", "block"])
     turned = F.col("turns") - F.col("turn")
-    inside = F.coalesce(F.col("fixed.fix") + turned - F.col("fixed.turns"), F.col("start") + turned) % 2
-    lines = lines.withColumn("inside", inside == 1).where("inside or not blank")
-    begun = (~F.col("inside")).cast("bigint")
-    counts = lines.groupBy("plain", "block").agg(F.sum(begun).alias("begun")).withColumn(
-        "earlier", F.coalesce(F.sum("begun").over(file_before), F.lit(0))
+    state = F.coalesce(F.col("fixed.fix") + turned - F.col("fixed.turns"), F.col("start") + turned) % 2
+    inside = F.when(state == 1, F.col("from1.inside")).otherwise(F.col("from0.inside"))
+    words = words.withColumn("inside", inside.bitwiseAND(F.col("present")))
+    outside = F.col("present").bitwiseAND(F.bitwise_not("inside"))
+    words = words.withColumns(
+        {"begun": outside.bitwiseAND(F.bitwise_not("blank")), "open": outside.bitwiseAND(F.col("open0"))}
+    )
+    begun = F.bit_count("begun").cast("bigint")
+    counts = words.groupBy("plain", "block").agg(F.sum(begun).alias("in_split")).withColumn(
+        "earlier", F.coalesce(F.sum("in_split").over(file_before), F.lit(0))
     )
-    numbered = lines.join(counts.drop("begun"), ["plain", "block"])
-    return numbered.withColumn("record", F.col("earlier") + F.sum(begun).over(upto) - 1)
+    words = words.join(counts.drop("in_split"), ["plain", "block"])
+    base = F.col("earlier") + F.coalesce(F.sum(begun).over(before), F.lit(0))
+    return words.select("plain", "block", "word", "first_n", "present", "inside", "begun", "open", base.alias("base"))
+
 
+def records(
+    lines: DataFrame, limits: Limits, small: bool, splits_small: bool, record_bytes: int
+) -> tuple[DataFrame, DataFrame]:
+    """Records of files with open quotes as (plain, delimiter, row_idx, text), and files given up.
 
-def joined_lines(numbered: DataFrame) -> DataFrame:
-    """Whole records; their number is ``row_idx``."""
-    return (
-        numbered.groupBy("plain", "delimiter", F.col("record").alias("row_idx"))
+    Lines that are a record of their own go straight on; only those of records with
+    breaks are grouped. A record of over ``record_bytes`` bytes is not collected:
+    its file is reported and counts for nothing.
+    """
+    words = stage(numbered_words(lines, small), "words")
+    splits = words.groupBy("plain", "block").agg(
+        F.min("first_n").alias("first_n"), F.min("base").alias("base"),
+        F.bool_and((F.col("begun") == F.col("present")) & (F.col("open") == 0)).alias("straight"),
+    )
+    splits = stage(splits, "splits")
+    every = lines.join(F.broadcast(splits) if splits_small else splits, ["plain", "block"])
+    straight = every.where("straight").withColumn("row_idx", F.col("base") + F.col("n") - F.col("first_n"))
+    told = words.join(splits.where("not straight").select("plain", "block"), ["plain", "block"], "left_semi")
+    told = told.drop("first_n", "present")
+    told = F.broadcast(told) if is_small(told, limits) else told
+    rest = _in_word(every.where("not straight").drop("base", "first_n")).join(told, ["plain", "block", "word"])
+    until = _below(F.col("k")).bitwiseOR(_bit("k"))
+    rest = rest.withColumn("row_idx", F.col("base") + F.bit_count(F.col("begun").bitwiseAND(until)) - 1)
+    alone = (_has("begun", "k") == 1) & (_has("open", "k") == 0)
+    parts = rest.where((_has("inside", "k") == 1) | (_has("open", "k") == 1))
+    sizes = parts.groupBy("plain", "row_idx").agg(F.sum(F.octet_length("raw") + 1).alias("size"))
+    failed = sizes.where(F.col("size") > record_bytes).select("plain").distinct()
+    failed = stage(failed.withColumn("error", F.lit(f"a record of over {record_bytes} bytes")), "too_long")
+    if failed.isEmpty():
+        return _records_of(straight, rest.where(alone), parts), failed
+    known = F.broadcast(failed) if is_small(failed, limits) else failed
+    good = [t.join(known.select("plain"), "plain", "left_anti") for t in (straight, rest.where(alone), parts)]
+    return _records_of(*good), failed
+
+
+def _records_of(straight: DataFrame, alone: DataFrame, parts: DataFrame) -> DataFrame:
+    columns = ["plain", "delimiter", "row_idx", "text"]
+    joined = (
+        parts.groupBy("plain", "delimiter", "row_idx")
         .agg(F.array_sort(F.collect_list(F.struct("block", "n", "text"))).alias("parts"))
         .select("plain", "delimiter", "row_idx", F.array_join("parts.text", "\n").alias("text"))
     )
+    return straight.select(*columns).unionByName(alone.select(*columns)).unionByName(joined)
 
 
 def scan_delimited(
-    spark: SparkSession, paths: list[str], limits: Limits = Limits()
+    spark: SparkSession, paths: list[str], limits: Limits = Limits(), record_bytes: int = RECORD_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """Records as (plain, row_idx, cells), and per file its encoding and delimiter."""
+    """Records as (plain, row_idx, cells), and (plain, error) for files that are given up."""
     raw = raw_lines(spark, paths)
     where = stage(blocks(raw), "blocks")
     few = is_small(where, limits)
     lines = placed(raw, where, few)
     profiles = stage(with_utf7(lines, profile(lines)), "profiles")
-    known = F.broadcast(profiles) if is_small(profiles, limits) else profiles
+    small = is_small(profiles, limits)
+    known = F.broadcast(profiles) if small else profiles
     any_open = profiles.agg(F.bool_or("open_quote")).first()[0]
     lines = lines.join(known, "plain")
     plain = lines.where(~F.col("open_quote"))
     text = decoded(plain).select("plain", "delimiter", "row_idx", "text")
+    errors = spark.createDataFrame([], "plain string, error string")
     if any_open:
         first = F.col("opens") & (F.col("n") == F.col("first_n"))
         every = raw.join(F.broadcast(where) if few else where, ["plain", "block"]).join(known, "plain")
         every = every.where("open_quote").withColumn("row_idx", F.when(first, 0).otherwise(1))
-        quoted = joined_lines(records(decoded(every)))
-        text = text.unionByName(quoted)
-    return text.select("plain", "row_idx", split_line("text", "delimiter").alias("cells")), profiles
+        every = decoded(every).select("plain", "block", "n", "blank", "raw", "delimiter", "text")
+        quoted, errors = records(every, limits, small, few, record_bytes)
+        text = text.unionByName(quoted.withColumn("row_idx", F.col("row_idx").cast("bigint")))
+    return text.select("plain", "row_idx", split_line("text", "delimiter").alias("cells")), errors

@@ -9,10 +9,13 @@ from rollcall.checks import match_checks as mc
 from rollcall.checks.files import new_inputs, write_files
 from rollcall.checks.registry import check
 from rollcall.operators.decisions import Decisions
+from rollcall.operators.lookup import Limits
+from rollcall.operators.ordinals import running_start
 from rollcall.plans import from_files as ff
 from rollcall.plans.reconcile import Params, reconcile
 from rollcall.sources.inputs import list_inputs
 from rollcall.sources.sink import write_result
+from rollcall.sources.staging import stage
 
 HEAD = ["N°étudiant", "Prénom", "Nom", "Note"]
 TITLE = ["Relevé de l'épreuve", "", "", ""]
@@ -63,6 +66,15 @@ from customer
 
 @check("scan_quoted_breaks", f"select file, key, id, first_name, last_name, val from ({QUOTED})")
 def scan_quoted_breaks(spark, sf):
+    lines, _ = ff.scan(spark, list_inputs(spark, "/", folder=_quoted(spark, sf)))
+    cell = lambda i: F.get("cells", F.lit(i))
+    return lines.where("row_idx >= 2").select(
+        F.regexp_extract("plain", "([^/]+)$", 1).alias("file"), cell(0).cast("bigint").alias("key"),
+        cell(0).alias("id"), cell(1).alias("first_name"), cell(2).alias("last_name"), cell(3).alias("val"),
+    )
+
+
+def _quoted(spark, sf):
     fx.register(spark, sf, "customer")
     rows = spark.sql(QUOTED).select(
         "file", F.lit("").alias("sheet"), F.lit("utf-8").alias("encoding"),
@@ -71,11 +83,55 @@ def scan_quoted_breaks(spark, sf):
     )
     folder = new_inputs(spark, "quoted")
     write_files(rows, [["Titre" + "\n" * 12, "", "", ""], HEAD], folder)
-    lines, _ = ff.scan(spark, list_inputs(spark, "/", folder=folder))
-    cell = lambda i: F.get("cells", F.lit(i))
-    return lines.where("row_idx >= 2").select(
-        F.regexp_extract("plain", "([^/]+)$", 1).alias("file"), cell(0).cast("bigint").alias("key"),
-        cell(0).alias("id"), cell(1).alias("first_name"), cell(2).alias("last_name"), cell(3).alias("val"),
+    return folder
+
+
+@check("scan_shuffled", f"select file, key, id, first_name, last_name, val from ({QUOTED})")
+def scan_shuffled(spark, sf):
+    """Records with breaks, with no table of files, splits or sheets small enough to broadcast."""
+    limits = Limits(broadcast_bytes=0, hot_rows=20)
+    inputs = list_inputs(spark, "/", folder=_quoted(spark, sf))
+    return ff.observe_files(spark, inputs, limits=limits).observations.select(
+        "file", F.col("id_raw").cast("bigint").alias("key"), F.col("id_raw").alias("id"),
+        F.col("first_raw").alias("first_name"), F.col("last_raw").alias("last_name"), F.col("value_raw").alias("val"),
+    )
+
+
+# Texts that mean null, fixed values, and some that look like them.
+NULLISH = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+NO_NULLS = ["none", "NAN", "Null", "N.A.", "0"]
+NULL_CELLS = f"""
+select 'n' || lpad(cast(cast(floor(c_custkey / 300) as bigint) as string), 8, '0') ||
+    case cast(floor(c_custkey / 300) as bigint) % 3 when 0 then '.csv' when 1 then '.xlsx' else '.ods' end as file,
+  c_custkey as key, 'C' || cast(c_custkey as string) as id,
+  case cast(c_custkey % {len(NULLISH + NO_NULLS)} as int)
+    {" ".join(f"when {i} then '{t}'" for i, t in enumerate(NULLISH + NO_NULLS))} end as first_name,
+  c_name as last_name,
+  case when c_custkey % 5 = 0 then 'NULL' else cast(c_custkey % 20 as string) end as val
+from customer
+"""
+
+
+@check(
+    "null_tokens",
+    f"""
+    select file, key, id, case when key % {len(NULLISH + NO_NULLS)} >= {len(NULLISH)} then first_name end as first_name,
+      last_name, case when val <> 'NULL' then val end as val from ({NULL_CELLS})
+    """,
+)
+def null_tokens(spark, sf):
+    """Cells that mean null, from files of each kind."""
+    fx.register(spark, sf, "customer")
+    rows = spark.sql(NULL_CELLS).select(
+        "file", F.lit("").alias("sheet"), F.lit("utf-8").alias("encoding"), F.lit(";").alias("delimiter"), "key",
+        F.array("id", "first_name", "last_name", "val").alias("cells"),
+    )
+    folder = new_inputs(spark, "nulls")
+    write_files(rows, [HEAD], folder)
+    return ff.observe_files(spark, list_inputs(spark, "/", folder=folder)).observations.select(
+        "file", F.substring("id_raw", 2, 20).cast("bigint").alias("key"), F.col("id_raw").alias("id"),
+        F.col("first_raw").alias("first_name"), F.col("last_raw").alias("last_name"), F.col("value_raw").alias("val"),
     )
 
 
@@ -219,6 +275,23 @@ def sink_roundtrip(spark, sf):
 
 
 
+@check(
+    "sink_order",
+    mc.RESULT + """select row_number() over (order by roster_ord) - 1 as position, id from result""",
+)
+def sink_order(spark, sf):
+    """Place of each member in the parts of the result file, read in the order of their names."""
+    folder = new_inputs(spark, "result")
+    write_result(mc._run(spark, sf).consolidated, folder)
+    rows = spark.read.csv(folder, header=True, escape='"')
+    rows = rows.select(
+        F.col(rows.columns[0]).alias("id"), F.col("_metadata.file_name").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.lit(1).alias("one"),
+    )
+    placed = running_start(stage(rows, "written"), ["part", "block", "n"], "one", "position")
+    return placed.select("position", "id")
+
+
 MIXED = f"f as (select distinct file, regexp_extract(lower(file), '(\\.[a-z]*)$', 1) as ext from ({SUPPLIERS}))"
 
 

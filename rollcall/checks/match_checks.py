@@ -393,6 +393,28 @@ def issues_shuffled(spark, sf):
     )
 
 
+@check(
+    "issues_full_name",
+    BASE + f""",
+    told as (
+      select {KEYS}, case when id_key is not null then 'id_unknown_try_full' end as by_id,
+        case when trim(full_raw) = '' then 'full_missing' when m.n is null then 'full_unknown'
+             when m.n > 1 then 'full_ambiguous' end as by_name
+      from o1 left join roster r on r.id = id_key
+        left join merged m on m.key = full_norm and full_norm <> ''
+      where r.id is null)
+    select {KEYS}, by_id as code, 'warn' as severity from told where by_id is not null
+    union all select {KEYS}, by_name, 'warn' from told where by_name is not null
+    """,
+)
+def issues_full_name(spark, sf):
+    """Issues of rows whose sheet has ids and merged names only."""
+    roster = fx.roster(spark, sf)
+    run = reconcile(roster, fx.observations(spark, has_name=False, has_full=True), fx.files(spark), thin=True)
+    told = F.col("code").startswith("full_") | (F.col("code") == "id_unknown_try_full")
+    return run.issues.where(told).select("file", "ord.o1", "ord.o2", "ord.o3", "ord.o4", "code", "severity")
+
+
 @check("issue_counts", ISSUES + "select file, code, count(*) as n from issues group by 1, 2")
 def issue_counts(spark, sf):
     return report.issue_counts(_run(spark, sf).issues)

@@ -8,6 +8,7 @@ from rollcall.checks import fixtures as fx
 from rollcall.checks.registry import check
 from rollcall.operators import decisions as dec
 from rollcall.operators import schema as sc
+from rollcall.operators.lookup import Limits
 
 # Every file holds one whole table: two title lines, a header line, the data.
 # row_idx numbers the lines of a file from 0 as its key columns do.
@@ -263,6 +264,16 @@ def project_observations(spark, sf):
     )
 
 
+@check("project_shuffled", PROJECT)
+def project_shuffled(spark, sf):
+    """The same with no table small enough to broadcast and every sheet dealt by its count of lines."""
+    limits = Limits(broadcast_bytes=0, hot_rows=20)
+    rows = lines(spark, sf)
+    return sc.project_observations(rows, sc.resolve_sheets(rows, limits=limits), limits=limits).select(
+        "file", "sheet_ord", "row_idx", "id_raw", "first_raw", "last_raw", "full_raw", "value_raw"
+    )
+
+
 # Answers stated per table: choices for a flat file and for one sheet of a
 # workbook; a file-level key for the workbook, which must not apply.
 CHOICES = """

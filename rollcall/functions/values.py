@@ -58,27 +58,37 @@ def parse_number(c: Column | str) -> Column:
     return number_of(ascii_digits(strip(c)))
 
 
+def cell_number(cell: Column | str) -> Column:
+    """The number of a cell, whose decimal mark may be a comma."""
+    return parse_number(F.replace(col(cell), F.lit(","), F.lit(".")))
+
+
+def is_blank(cell: Column | str) -> Column:
+    return F.lower(col(cell)).isin("", "nan")
+
+
+def claimed(blank: Column, absent: Column, number: Column) -> Column:
+    """The value that a cell claims; neither a blank nor an absence has one."""
+    return F.when(~blank & ~absent, number)
+
+
+def issue_of(blank: Column, absent: Column, value: Column) -> Column:
+    return F.when(blank, "value_empty").when(~absent & value.isNull(), "value_unparsed")
+
+
 def parse_value(c: Column | str, extra: Iterable[str] = ()) -> Column:
-    """Struct of value, absence and issue for one raw cell.
+    """Struct of value, absence and issue for one raw cell, by the rules of ``with_value``.
 
     A null cell gives nothing at all; a blank one is an issue.
     """
-    c = col(c)
     s = strip(c)
-    number = parse_number(F.replace(c, F.lit(","), F.lit(".")))
-    return _assemble(c, s, number, is_absent_token(s, extra))
-
-
-def _assemble(c: Column, s: Column, number: Column, token: Column) -> Column:
-    blank = F.lower(s).isin("", "nan")
-    absent = F.coalesce(~blank & token, F.lit(False))
-    issue = F.when(blank, "value_empty").when(
-        c.isNotNull() & ~absent & number.isNull(), "value_unparsed"
-    )
+    blank = is_blank(s)
+    absent = F.coalesce(~blank & is_absent_token(s, extra), F.lit(False))
+    value = claimed(blank, absent, cell_number(s))
     return F.struct(
-        F.when(~blank & ~absent, number).alias("value"),
+        value.alias("value"),
         absent.alias("is_absent"),
-        issue.alias("issue"),
+        F.when(s.isNotNull(), issue_of(blank, absent, value)).alias("issue"),
     )
 
 
@@ -107,10 +117,12 @@ def clamp(v: Column | str, low: float | None, high: float | None) -> Column:
     """Struct of the clamped value and the direction; the upper bound goes first."""
     v = col(v)
     direction = out_of_range(v, low, high)
-    return F.struct(
-        F.coalesce(bound_of(direction, low, high), v).alias("value"),
-        direction.alias("direction"),
-    )
+    return F.struct(clamped(v, direction, low, high).alias("value"), direction.alias("direction"))
+
+
+def clamped(v: Column, direction: Column, low: float | None, high: float | None) -> Column:
+    """The bound that a value lies beyond, or the value."""
+    return F.coalesce(bound_of(direction, low, high), v)
 
 
 def _halves(x: Column) -> tuple[Column, Column]:

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from rollcall.functions.text import strip
 from rollcall.functions.values import (
     absent_tokens,
-    bound_of,
+    cell_number,
+    clamped,
+    claimed,
+    is_blank,
+    issue_of,
     out_of_range,
-    parse_number,
 )
 from rollcall.operators.lookup import HeavyKeys, Limits, joint_key, lookup, salts
 
@@ -23,7 +26,7 @@ def value_keys(tokens: bool, clamps: bool, low: float | None, high: float | None
     Texts known otherwise and values that a saved token explains only make counts higher.
     """
     cell = strip(F.coalesce("value_raw", F.lit("")))
-    number = parse_number(F.replace(cell, F.lit(","), F.lit(".")))
+    number = cell_number(cell)
     keys = {"token": F.upper(cell)} if tokens else {}
     return keys | ({"clamp": joint_key(F.col("file"), F.col("sheet"), out_of_range(number, low, high))} if clamps else {})
 
@@ -53,9 +56,9 @@ def with_value(
     df = df.withColumn("cell", strip(F.coalesce("value_raw", F.lit(""))))
     df = df.withColumns(
         {
-            "cell_number": parse_number(F.replace("cell", F.lit(","), F.lit("."))),
+            "cell_number": cell_number("cell"),
             "cell_token": F.upper("cell"),
-            "cell_blank": F.lower("cell").isin("", "nan"),
+            "cell_blank": is_blank("cell"),
         }
     )
     df = df.withColumn("token_known", F.col("cell_token").isin(absent_tokens(tokens)))
@@ -76,12 +79,9 @@ def with_value(
         )
     is_absent = ~F.col("cell_blank") & F.col("token_known")
     df = df.withColumn("is_absent", is_absent)
-    df = df.withColumn(
-        "parsed_value", F.when(~F.col("cell_blank") & ~F.col("is_absent"), F.col("cell_number"))
-    )
-    issue = F.when(F.col("cell_blank"), "value_empty").when(
-        ~F.col("is_absent") & F.col("parsed_value").isNull(), "value_unparsed"
-    )
+    blank, absent = F.col("cell_blank"), F.col("is_absent")
+    df = df.withColumn("parsed_value", claimed(blank, absent, F.col("cell_number")))
+    issue = issue_of(blank, absent, F.col("parsed_value"))
     df = df.withColumns(
         {"value_issue": issue, "direction": out_of_range("parsed_value", low, high)}
     )
@@ -100,8 +100,8 @@ def with_value(
             spread=F.col("ord"), small=clamps_small, hot=heavy and heavy.of("clamp", "clamp_key"), limits=limits,
         ).drop("clamp_key")
     use = F.coalesce("clamp_answer", F.lit(False))
-    bound = bound_of(F.col("direction"), low, high)
-    return df.withColumn("value", F.when(use, bound).otherwise(F.col("parsed_value")))
+    value = F.col("parsed_value")
+    return df.withColumn("value", F.when(use, clamped(value, F.col("direction"), low, high)).otherwise(value))
 
 
 def first_claims(matched: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ from rollcall.constants import (
 )
 from rollcall.functions.text import clean_header, normalize_text, strip
 from rollcall.functions.values import is_absent_token, parse_number
-from rollcall.operators.lookup import Limits, is_small
+from rollcall.operators.lookup import Limits, is_small, joint_key, lookup, salts
+from rollcall.sources.staging import stage
 
 SHEET = ["file_ord", "file", "sheet_ord", "sheet"]
 KEY_ROLES = ["id", "first_name", "last_name", "full_name"]
@@ -233,6 +234,31 @@ def with_value_candidates(sheets: DataFrame) -> DataFrame:
     )
 
 
+def sheet_key(of: str = "file_ord") -> Column:
+    """One text for a sheet."""
+    return joint_key(F.col(of).cast("string"), F.col("sheet_ord").cast("string"))
+
+
+def with_sheet(
+    lines: DataFrame, sheets: DataFrame, small: bool, sizes: DataFrame | None = None, limits: Limits = Limits()
+) -> DataFrame:
+    """Lines of the given sheets with what these say, one row per sheet.
+
+    If that is not small, a sheet of many lines is dealt over as many places as its
+    count asks for. ``sizes`` has file_ord, sheet_ord, n_rows; otherwise lines are counted.
+    """
+    if small:
+        return lines.join(F.broadcast(sheets), ["file_ord", "sheet_ord"])
+    if sizes is None:
+        sizes = lines.groupBy("file_ord", "sheet_ord").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = sizes.select(sheet_key().alias("sheet_key"), "n_rows")
+    hot = stage(salts(counts, "sheet_key", "n_rows", limits), "hot_sheets")
+    told = sheets.withColumns({"sheet_key": sheet_key(), "is_told": F.lit(True)}).drop("file_ord", "sheet_ord")
+    keyed = lines.withColumn("sheet_key", sheet_key())
+    rows = lookup(keyed, told, "sheet_key", spread=F.col("row_idx"), small=False, hot=hot, limits=limits)
+    return rows.where("is_told").drop("sheet_key", "is_told")
+
+
 def looks_like_value(c: Column) -> Column:
     """An absence token, or a number in the fixed content range."""
     s = F.replace(strip(c), F.lit(","), F.lit("."))
@@ -243,7 +269,12 @@ def looks_like_value(c: Column) -> Column:
 
 
 def column_profile(
-    lines: DataFrame, sheets: DataFrame, small: bool, columns: str = "free"
+    lines: DataFrame,
+    sheets: DataFrame,
+    small: bool,
+    columns: str = "free",
+    sizes: DataFrame | None = None,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """Non-null and value-like cells per column of the given sheets.
 
@@ -252,9 +283,8 @@ def column_profile(
     asked = sheets.select(
         "file_ord", "sheet_ord", "header_row", F.transform(columns, lambda c: c["idx"]).alias("wanted")
     )
-    asked = F.broadcast(asked) if small else asked
     cells = (
-        lines.join(asked, ["file_ord", "sheet_ord"])
+        with_sheet(lines, asked, small, sizes, limits)
         .where(F.col("row_idx") > F.col("header_row"))
         .select("file_ord", "sheet_ord", "cells", F.explode("wanted").alias("idx"))
         .select("file_ord", "sheet_ord", "idx", null_text(F.get("cells", F.col("idx"))).alias("cell"))
@@ -276,11 +306,15 @@ def content_columns() -> Column:
     return F.filter("free", lambda c: ~c["norm"].rlike(QUESTION_PATTERN))
 
 
-def with_content(lines: DataFrame, sheets: DataFrame, small: bool) -> DataFrame:
+def with_content(
+    lines: DataFrame, sheets: DataFrame, sizes: DataFrame | None = None, limits: Limits = Limits()
+) -> DataFrame:
     """Candidates by content for the sheets whose headers did not settle it."""
     asked = sheets.where("needs_content").withColumn("content_cols", content_columns())
+    # Measured as it is sent: with the columns to look at.
+    asked = stage(asked.select("file_ord", "sheet_ord", "header_row", "content_cols"), "content_sheets")
     passed = (
-        column_profile(lines, asked, small, "content_cols")
+        column_profile(lines, asked, is_small(asked, limits), "content_cols", sizes, limits)
         .where(passes_profile())
         .groupBy("file_ord", "sheet_ord")
         .agg(F.array_sort(F.collect_list("idx")).alias("by_content"))
@@ -384,32 +418,39 @@ def resolve_sheets(
     column_choices: DataFrame | None = None,
     sheet_selection: DataFrame | None = None,
     headers: DataFrame | None = None,
+    sizes: DataFrame | None = None,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """One row per sheet: header line, column of each role, flags and codes."""
+    """One row per sheet: header line, column of each role, flags and codes.
+
+    ``sizes``: file_ord, sheet_ord, n_rows of each sheet, where the caller knows them.
+    """
     sheets = select_sheets(find_headers(lines) if headers is None else headers, sheet_selection)
     sheets = with_choices(with_columns_listed(sheets), column_choices)
     sheets = with_value_candidates(with_key_roles(sheets))
-    asked = sheets.where("needs_content").select("file_ord", "sheet_ord")
-    if asked.isEmpty():
+    if sheets.where("needs_content").isEmpty():
         return settle(without_content(sheets))
-    return settle(with_content(lines, sheets, is_small(asked, limits)))
+    return settle(with_content(lines, sheets, sizes, limits))
 
 
-def project_observations(lines: DataFrame, sheets: DataFrame, small: bool) -> DataFrame:
+def project_observations(
+    lines: DataFrame,
+    sheets: DataFrame,
+    small: bool | None = None,
+    sizes: DataFrame | None = None,
+    limits: Limits = Limits(),
+) -> DataFrame:
     """Observations of the usable sheets: fixed columns picked from each line.
 
-    The sheet table joins by broadcast where measured small; the lines are not
-    grouped or pivoted.
+    The sheet table joins by broadcast where it is small, which is measured unless the
+    caller says so; the lines are not grouped or pivoted.
     """
     picked = sheets.where("usable").select(
         "file_ord", "sheet_ord", "header_row", "has_id", "has_name", "has_full", "choice_sheet",
         *(F.col(f"col_{r}")["idx"].alias(f"at_{r}") for r in [*KEY_ROLES, "value"]),
     )
-    picked = F.broadcast(picked) if small else picked
-    rows = lines.join(picked, ["file_ord", "sheet_ord"]).where(
-        F.col("row_idx") > F.col("header_row")
-    )
+    small = is_small(picked, limits) if small is None else small
+    rows = with_sheet(lines, picked, small, sizes, limits).where(F.col("row_idx") > F.col("header_row"))
     cell = lambda role: null_text(F.get("cells", F.col(f"at_{role}")))
     keep = [c for c in lines.columns if c not in (*SHEET, "row_idx", "cells")]
     return rows.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollcall.constants import DELIMITED_EXTENSIONS, WORKBOOK_EXTENSIONS
 from rollcall.operators.decisions import Decisions
-from rollcall.operators.lookup import Limits, is_small
+from rollcall.operators.lookup import Limits, is_small, joint_key, lookup, salts
 from rollcall.operators.ordinals import running_start
 from rollcall.operators.report import severity
 from rollcall.operators.schema import (
@@ -77,18 +77,34 @@ def scan(
     return lines, errors
 
 
-def ordered(lines: DataFrame, inputs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def sheet_bases(lines: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Per sheet the number of its lines and of those in all sheets before it."""
+    sizes = lines.groupBy("plain", "sheet_ord").agg((F.max("row_idx") + 1).alias("n_rows"))
+    placed = sizes.join(inputs.select("plain", "file_ord", "file"), "plain")
+    return stage(running_start(placed, ["file_ord", "sheet_ord"], "n_rows", "base"), "sheet_bases")
+
+
+def ordered(
+    lines: DataFrame, inputs: DataFrame, limits: Limits = Limits(), bases: DataFrame | None = None
+) -> DataFrame:
     """Lines with their file and ``ord``, one number for (file, sheet, line).
 
     Each sheet gets the range after the sheets before it, from the highest
-    line number of every sheet, summed range by range.
+    line number of every sheet, summed range by range. Where the table of sheets is
+    too large to send, a sheet of many lines is dealt over several places.
     """
-    sizes = lines.groupBy("plain", "sheet_ord").agg((F.max("row_idx") + 1).alias("n_rows"))
-    placed = sizes.join(inputs.select("plain", "file_ord", "file"), "plain")
-    bases = running_start(placed, ["file_ord", "sheet_ord"], "n_rows", "base").drop("n_rows")
-    bases = stage(bases, "sheet_bases")
-    bases = F.broadcast(bases) if is_small(bases, limits) else bases
-    return lines.join(bases, ["plain", "sheet_ord"]).select(
+    bases = sheet_bases(lines, inputs) if bases is None else bases
+    if is_small(bases, limits):
+        placed = lines.join(F.broadcast(bases.drop("n_rows")), ["plain", "sheet_ord"])
+    else:
+        key = joint_key(F.col("plain"), F.col("sheet_ord").cast("string"))
+        keyed = bases.withColumn("place", key)
+        hot = stage(salts(keyed, "place", "n_rows", limits), "hot_places")
+        placed = lookup(
+            lines.withColumn("place", key), keyed.drop("plain", "sheet_ord", "n_rows"), "place",
+            spread=F.col("row_idx"), small=False, hot=hot, limits=limits,
+        ).where("base is not null")
+    return placed.select(
         "file_ord", "file", "sheet_ord", "sheet", "row_idx", "cells",
         (F.col("base") + F.col("row_idx")).alias("ord"),
     )
@@ -142,14 +158,14 @@ def observe_files(
 ) -> Observed:
     """Scan inputs, settle each sheet's header and columns, pick observations."""
     lines, errors = scan(spark, inputs, limits)
-    lines = ordered(lines, inputs, limits)
+    bases = sheet_bases(lines, inputs)
+    lines = ordered(lines, inputs, limits, bases)
     sheets = resolve_sheets(
         lines, column_choices=decisions.column_choices,
-        sheet_selection=decisions.sheet_selection, limits=limits,
+        sheet_selection=decisions.sheet_selection, sizes=bases, limits=limits,
     )
     sheets = stage(sheets, "sheets")
-    small = is_small(sheets.select("file_ord", "sheet_ord", "sheet"), limits)
-    observations = project_observations(lines, sheets, small)
+    observations = project_observations(lines, sheets, sizes=bases, limits=limits)
     return Observed(inputs, lines, sheets, observations, file_issues(inputs, errors, sheets))
 
 

@@ -268,7 +268,11 @@ def _words(lines: DataFrame, small: bool) -> DataFrame:
     words = words.withColumn("shuts", F.col("present").bitwiseAND(F.bitwise_not("open1")))
     highest = F.length(F.bin("shuts")) - 1
     last = words.where("shuts <> 0").groupBy("plain").agg(F.max(F.struct("block", "word", highest.alias("k"))).alias("last"))
-    words = words.join(F.broadcast(last) if small else last, "plain", "left")
+    if small:
+        words = words.join(F.broadcast(last), "plain", "left")
+    else:
+        ends = words.select("plain", "block").distinct().join(last, "plain", "left")
+        words = words.join(ends, ["plain", "block"])
     place, end = F.struct("block", "word"), F.struct("last.block", "last.word")
     closed = (
         F.when(place < end, F.col("open0"))
@@ -391,16 +395,17 @@ def scan_delimited(
     lines = placed(raw, where, few)
     profiles = stage(with_utf7(lines, profile(lines)), "profiles")
     small = is_small(profiles, limits)
-    known = F.broadcast(profiles) if small else profiles
     any_open = profiles.agg(F.bool_or("open_quote")).first()[0]
-    lines = lines.join(known, "plain")
-    plain = lines.where(~F.col("open_quote"))
+    # What is known of a file goes to its splits first, so that no file is one key of the lines.
+    where = stage(where.join(F.broadcast(profiles) if small else profiles, "plain"), "split_profiles")
+    few = is_small(where, limits)
+    plain = placed(raw, where.where(~F.col("open_quote")), few)
     text = decoded(plain).select("plain", "delimiter", "row_idx", "text")
     errors = spark.createDataFrame([], "plain string, error string")
     if any_open:
         first = F.col("opens") & (F.col("n") == F.col("first_n"))
-        every = raw.join(F.broadcast(where) if few else where, ["plain", "block"]).join(known, "plain")
-        every = every.where("open_quote").withColumn("row_idx", F.when(first, 0).otherwise(1))
+        told = where.where("open_quote")
+        every = raw.join(F.broadcast(told) if few else told, ["plain", "block"]).withColumn("row_idx", F.when(first, 0).otherwise(1))
         every = decoded(every).select("plain", "block", "n", "blank", "raw", "delimiter", "text")
         quoted, errors = records(every, limits, small, few, record_bytes)
         text = text.unionByName(quoted.withColumn("row_idx", F.col("row_idx").cast("bigint")))

@@ -11,6 +11,7 @@ from rollcall.operators.decisions import Decisions
 from rollcall.plans.from_files import roster_from_file, scan
 from rollcall.plans.reconcile import Params
 from rollcall.sources import staging, workbook
+from rollcall.sources.delimited import scan_delimited
 from rollcall.sources.inputs import list_inputs
 from rollcall.sources.sink import write_result
 
@@ -320,3 +321,96 @@ def test_no_inputs_is_an_issue(spark, tmp_path):
     got = run(spark, tmp_path, [])
     assert codes(got) == {("", "no_input_files")}
     assert got.totals.first().none == 12
+
+
+def by_hand(text, delimiter):
+    """Number of lines that each record takes, by walking through the characters."""
+    lines = text.split("\n")
+    if lines[-1] == "":
+        lines.pop()
+
+    def ends_inside(line, inside):
+        at_start, i = not inside, 0
+        while i < len(line):
+            c = line[i]
+            if inside:
+                if c == '"' and line[i + 1 : i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    inside = False
+            elif c == '"' and at_start:
+                inside = True
+            at_start = not inside and c == delimiter
+            i += 1
+        return inside
+
+    last = max((i for i, x in enumerate(lines) if not ends_inside(x, True)), default=-1)
+    inside, out = False, []
+    for i, x in enumerate(lines):
+        if inside:
+            out[-1].append(x)
+        elif x.strip():
+            out.append([x])
+        else:
+            continue
+        inside = ends_inside(x, inside) and (inside or i < last)
+    return ["\n".join(r) for r in out]
+
+
+def test_masks_of_lines_join_records_as_by_hand(spark, tmp_path):
+    rng = random.Random(11)
+    want = {}
+    for k in range(6):
+        # Blank lines, stray quotes, long runs inside and outside, across words of 64 lines and splits.
+        pool = ["a;b", "", 'x;"y', 'z";w', '"q";"r"', 'm;5" n', '"";p', '"o'] + ["c;d"] * (4, 60, 300)[k % 3]
+        text = "".join(rng.choice(pool) + "\n" for _ in range(700)) + "a;b;c\n" * 400
+        (tmp_path / f"m{k}.csv").write_bytes(text.encode())
+        want[f"m{k}.csv"] = by_hand(text, ";")
+    (tmp_path / "shut.csv").write_bytes(b'a;"b\n' + b"c;d\n" * 500 + b'e";f\n' + b"g;h\n" * 500)
+    want["shut.csv"] = ['a;"b\n' + "c;d\n" * 500 + 'e";f'] + ["g;h"] * 500
+    for split in ("134217728", "700"):
+        got = scanned(spark, tmp_path, sorted(want), split)
+        assert {f: len(r) for f, r in got.items()} == {f: len(r) for f, r in want.items()}
+        for f, rows in got.items():
+            assert [i for i, _ in rows] == list(range(len(rows)))
+            cells = [";".join(c) for _, c in rows]
+            assert [c.replace('"', "") for c in cells] == [w.replace('"', "") for w in want[f]]
+
+
+def test_only_lines_of_open_records_are_grouped(spark, tmp_path):
+    body = "".join(f"{i};{i % 20}\n" for i in range(30000))
+    (tmp_path / "one.csv").write_bytes(f'id;"No\nte"\n{body}'.encode())
+    inputs = list_inputs(spark, str(tmp_path), ["one.csv"])
+    lines, errors = scan(spark, inputs)
+    assert lines.count() == 30001 and errors.isEmpty()
+    plan = lines.select("cells")
+    plan.collect()
+    sent = exchanged(plan._jdf.queryExecution().executedPlan())
+    assert sent and sum(sent) < 2000
+
+
+def exchanged(node):
+    """Bytes that each shuffle of an executed plan wrote."""
+    name, out = node.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return exchanged(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return exchanged(node.plan())
+    if name == "Exchange":
+        out.append(node.metrics().apply("shuffleBytesWritten").value())
+    children = node.children()
+    for i in range(children.size()):
+        out += exchanged(children.apply(i))
+    return out
+
+
+def test_a_record_over_the_bound_is_reported(spark, tmp_path):
+    (tmp_path / "long.csv").write_bytes(b'id;note\n1;"' + b"x\n" * 3000 + b'";2\n')
+    (tmp_path / "good.csv").write_bytes(b'id;note\n1;"a\nb"\n2;c\n')
+    paths = [str(tmp_path / n) for n in ("long.csv", "good.csv")]
+    cells, errors = scan_delimited(spark, paths, record_bytes=1000)
+    assert [r.plain.rsplit("/", 1)[1] for r in errors.collect()] == ["long.csv"]
+    assert sorted((r.row_idx, list(r.cells)) for r in cells.collect()) == [
+        (0, ["id", "note"]), (1, ["1", "a\nb"]), (2, ["2", "c"])
+    ]
+    assert scan_delimited(spark, paths)[1].isEmpty()

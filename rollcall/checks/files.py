@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import posixpath
 import zipfile
 from xml.sax.saxutils import escape
@@ -35,8 +36,8 @@ def _xlsx_cell(value: str | None) -> str:
     if value is None:
         return "<c/>"
     try:
-        float(value)
-        number = not value.startswith("0") or value.startswith("0.")
+        # No workbook stores NaN or infinity as a number.
+        number = math.isfinite(float(value)) and (not value.startswith("0") or value.startswith("0."))
     except ValueError:
         number = False
     if number:

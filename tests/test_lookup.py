@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from rollcall.operators.claims import first_claims, with_claim_state
 from rollcall.operators.lookup import SALTS, Limits, heavy_keys, is_small, joint_key, lookup
+from rollcall.operators.match import found_rows, settled_rows
+from rollcall.operators.roster import index_roster
 
 TINY = Limits(broadcast_bytes=0, hot_rows=50, null_spread=7)
 
@@ -85,3 +87,49 @@ def test_first_claims_are_a_hash_aggregate_and_exact(spark):
     for small in (True, False):
         state = with_claim_state(rows, claims, small=small, limits=TINY)
         assert sorted(r.ord for r in state.where("is_duplicate").collect()) == [3, 5]
+
+
+def test_only_keys_of_heavy_hashes_are_counted_themselves(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"))
+    limits = Limits(broadcast_bytes=0, hot_rows=4000)
+    heavy = heavy_keys(rows, {"k": F.col("key")}, limits)
+    assert [(r["key"], r[SALTS]) for r in heavy.of("k", "key").collect()] == [("hot", 2)]
+    # Neither key is heavy: no table of counts is made, which would shuffle every key.
+    few = heavy_keys(rows, {"k": F.col("key")}, Limits(broadcast_bytes=0, hot_rows=6000))
+    assert few.of("k", "key").count() == 0
+    assert not few.counts.inputFiles()
+
+
+def test_settled_rows_are_not_shuffled_again(spark):
+    roster = index_roster(
+        spark.createDataFrame(
+            [(str(i), f"f{i}", f"l{i}", "", i) for i in range(50)], "id string, first_name string, last_name string, email string, ord bigint"
+        ),
+        TINY,
+    )
+    assert not roster.small
+    n = F.col("id").cast("string")
+    obs = spark.range(100).select(
+        F.lit(0).alias("file_ord"), F.lit("a").alias("file"), F.lit("").alias("sheet"), F.col("id").alias("ord"),
+        F.when(F.col("id") % 2 == 0, F.col("id") % 50).otherwise(F.lit(None)).cast("string").alias("id_raw"),
+        F.concat(F.lit("f"), (F.col("id") % 50).cast("string")).alias("first_raw"),
+        F.when(F.col("id") % 10 == 0, "x").otherwise(F.concat(F.lit("l"), (F.col("id") % 50).cast("string"))).alias("last_raw"),
+        F.lit(None).cast("string").alias("full_raw"), n.alias("value_raw"),
+        F.lit(True).alias("has_id"), F.lit(True).alias("has_name"), F.lit(False).alias("has_full"),
+    )
+    answers = spark.createDataFrame([("a", "0", False), ("a", "10", True)], "file string, id string, answer boolean")
+    known, others = found_rows(obs, roster, TINY)
+    # Half of the rows have a known id; they come from a written table, and only the others meet the names.
+    assert known.count() == 50 and others.count() == 50
+    assert "Exchange" not in known._jdf.queryExecution().executedPlan().toString()
+    got = {r.ord: (r.member, r.tier, r.same_person) for r in settled_rows([known, others], answers, False, TINY).collect()}
+    assert len(got) == 100
+    for i, row in got.items():
+        m = i % 50
+        if i % 2:
+            want = (str(m), "name", None)
+        elif i % 10 == 0 and m in (0, 10):
+            want = (None, None, False) if m == 0 else (str(m), "id", True)
+        else:
+            want = (str(m), "id", None)
+        assert row == want, (i, row, want)

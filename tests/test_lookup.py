@@ -2,9 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.operators.claims import first_claims, with_claim_state
+from rollcall.operators.decisions import Decisions
 from rollcall.operators.lookup import SALTS, Limits, heavy_keys, is_small, joint_key, lookup
 from rollcall.operators.match import found_rows, settled_rows
 from rollcall.operators.roster import index_roster
+from rollcall.plans.reconcile import Params, reconcile
 
 TINY = Limits(broadcast_bytes=0, hot_rows=50, null_spread=7)
 
@@ -133,3 +135,45 @@ def test_settled_rows_are_not_shuffled_again(spark):
         else:
             want = (str(m), "id", None)
         assert row == want, (i, row, want)
+
+
+def test_settled_rows_are_written_once_and_without_cells_that_nobody_reads(spark):
+    members = spark.createDataFrame(
+        [(str(i), f"f{i}", f"l{i}", "", i) for i in range(40)],
+        "id string, first_name string, last_name string, email string, ord bigint",
+    )
+    n = F.col("id") % 40
+    last = F.when(F.col("id") % 10 == 0, "x").otherwise(F.concat(F.lit("l"), n.cast("string")))
+    obs = spark.range(400).select(
+        F.lit(0).alias("file_ord"), F.lit("a").alias("file"), F.lit("").alias("sheet"), F.col("id").alias("ord"),
+        F.when(F.col("id") % 4 == 1, None).when(F.col("id") % 4 == 2, F.concat(F.lit("X"), n)).otherwise(n.cast("string")).alias("id_raw"),
+        F.when(F.col("id") % 3 == 0, last).otherwise(F.concat(F.lit("f"), n)).alias("first_raw"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("f"), n)).otherwise(last).alias("last_raw"),
+        F.lit("unread").alias("full_raw"), F.when(F.col("id") % 7 == 0, "?").otherwise((F.col("id") % 25).cast("string")).alias("value_raw"),
+        F.lit(True).alias("has_id"), F.lit(True).alias("has_name"), F.lit(False).alias("has_full"),
+    )
+    answers = spark.createDataFrame([("a", str(i), i % 20 == 0) for i in range(0, 30, 10)], "file string, id string, answer boolean")
+
+    def run(limits=Limits(), **kw):
+        done = reconcile(
+            members, obs, decisions=Decisions(name_decisions=answers), params=Params(max_value=20), limits=limits, **kw
+        )
+        told = done.issues.select("ord", "code", "severity", F.col("detail")["value"].alias("v")).collect()
+        asked = done.pending.collect()
+        return done, sorted(map(str, told)), sorted(map(str, asked)), sorted(map(str, done.consolidated.collect()))
+
+    want = run()
+    # Few answers, and more than are broadcast.
+    for limits in (Limits(), Limits(broadcast_bytes=300, hot_rows=50)):
+        for details in (True, False):
+            got = run(limits, roster_small=False, details=details)
+            assert got[1:] == want[1:]
+            rows = got[0].rows
+            files = [f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in rows.inputFiles()]
+            assert "id_hits" in files and "matched" in files
+            written = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in rows.inputFiles() if "/id_hits-" in f})
+            assert details == ("first_raw" in written.columns)
+            if not details:
+                # Names stay on rows that are compared or looked up by them.
+                assert written.where("roster_name is not null and not mismatch and first_norm is not null").isEmpty()
+    assert run(details=False)[1:] == want[1:]

@@ -11,6 +11,7 @@ patterns per length, whatever the number of documents.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import zlib
@@ -71,6 +72,14 @@ class WordCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        # No cycles arise here; looking for them among millions of strings costs time.
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.unit) + len(self.word) > KEPT:
             self._clear()
         jobs: list[list] = []
@@ -99,24 +108,29 @@ class WordCodec:
         return out
 
     def _learn(self, units: set[str]) -> None:
-        known, cut = self.word, {}
+        known, whole, marked, cut = self.word, [], [], {}
         for u in units:
-            if not self.plain.fullmatch(u):
+            # Letters, perhaps before one mark, need no pattern.
+            letters = u.isascii() or self.plain.fullmatch(u)
+            if letters and u.isalpha():
+                whole.append(u)
+            elif letters and u[-1] in ",." and u[:-1].isalpha():
+                marked.append(u)
+            elif not self.plain.fullmatch(u):
                 ids = self.library.encode(u, add_special_tokens=False).ids
                 self.unit[u] = np.array(ids, "<u4").tobytes()
-            elif u.isalpha():
-                cut[u] = (u.lower(),)
-            elif u[-1] in ",." and u[:-1].isalpha():
-                cut[u] = (u[:-1].lower(), u[-1])
             else:
-                cut[u] = tuple(self.words.findall(u.lower()))
-        new: set[str] = set()
+                cut[u] = self.words.findall(u.lower())
+        lower = [u.lower() for u in whole]
+        heads = [u[:-1].lower() for u in marked]
+        new = {*lower, *heads, *(u[-1] for u in marked)}
         new.update(*cut.values())
         raw = {w.encode(): w for w in new.difference(known)}
         for w, ids in self.merges.encode(raw).items():
             known[raw[w]] = ids
-        for u, ws in cut.items():
-            self.unit[u] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        self.unit.update(zip(whole, map(known.__getitem__, lower), strict=True))
+        self.unit.update((u, known[w] + known[u[-1]]) for u, w in zip(marked, heads, strict=True))
+        self.unit.update((u, b"".join([known[w] for w in ws])) for u, ws in cut.items())
 
 
 @lru_cache(maxsize=2)

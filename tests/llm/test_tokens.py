@@ -123,3 +123,34 @@ def test_shortest_pack_first_holds_the_histogram():
             for length, times in pattern:
                 got[length] = got.get(length, 0) + packs * times
         assert got == hist and len(patterns) <= 3 * len(hist)
+
+
+def test_plain_words_are_learnt_without_pattern_or_collector():
+    import gc
+
+    codec = packing.WordCodec(packing.default_vocabulary())
+    asked, runs, was = [], [], gc.get_threshold()
+
+    class Counted:
+        def fullmatch(self, unit):
+            asked.append(unit)
+            return pattern.fullmatch(unit)
+
+    pattern, codec.plain = codec.plain, Counted()
+    texts = ["Plain words, and More words. " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)),
+             "naïve \x07bell a\x7fb Ünder, İx 3.14 don't x, , . ĳ"]
+    # Letters and their marks need no pattern; the others are as the library has them.
+    gc.callbacks.append(lambda phase, info: runs.append(phase))
+    try:
+        gc.set_threshold(50)
+        found = codec.encode(texts)
+    finally:
+        gc.set_threshold(*was)
+        gc.callbacks.pop()
+    assert gc.isenabled()
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [
+        codec.library.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    assert not {u for u in asked if u.isascii() and u.rstrip(",.").isalpha()}
+    # At most the collection that turning it on again lets happen.
+    assert len(runs) <= 4

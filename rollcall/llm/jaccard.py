@@ -39,6 +39,8 @@ from rollcall.operators.lookup import Limits, is_small, lookup, salts
 FEW = 6
 #: Shingles of a block, and signatures of one part of the exchange, about.
 BLOCK, PART = 500_000, 1_000_000
+#: Signatures that a task of the first side holds before it sends them, about.
+HELD = 500_000
 #: Pairs of one left set that are checked in one place.
 PAIRS = 10_000
 _ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -208,35 +210,39 @@ def _decode(blob: bytes) -> np.ndarray:
     return np.stack([np.frombuffer(blob[4 + 12 * k :], np.uint64), np.repeat(node, counts)], 1)
 
 
-def _buckets(texts: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """``a, b`` of small buckets, and ``sig, a`` of the members of larger ones."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_s, held_n, held = [], [], 0
-        seen: set[int] = set()  # copies within a task send nothing twice
+def _sent(batches: Iterator[pa.RecordBatch], words: int, percent: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Signatures of the texts by part, sent as soon as there are ``HELD`` of them."""
+    held_s, held_n, held = [], [], 0
+    seen: set[int] = set()  # copies within a task send nothing twice
+
+    def flush() -> pa.RecordBatch:
+        sig, node = np.concatenate(held_s), np.concatenate(held_n)
+        held_s.clear()
+        held_n.clear()
+        to, blobs = _encode((sig % np.uint64(parts)).astype(np.int64), node.view(np.uint64), sig)
+        return pa.record_batch([pa.array(to), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+    for whole in batches:
+        for b in slices(whole, "text"):
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                g = shingles(t, words)
+                node = digest(g)
+                if i is None or not len(g) or node in seen:
+                    continue
+                seen.add(node)
+                s = signatures(g, percent)
+                held_s.append(s)
+                held_n.append(np.full(len(s), node, np.int64))
+                held += len(s)
+                if held > HELD:
+                    yield flush()
+                    held = 0
+    if held:
+        yield flush()
 
-        def flush() -> pa.RecordBatch:
-            sig, node = np.concatenate(held_s), np.concatenate(held_n)
-            to, blobs = _encode((sig % np.uint64(parts)).astype(np.int64), node.view(np.uint64), sig)
-            return pa.record_batch([pa.array(to), pa.array(blobs, pa.binary())], ["part", "rows"])
 
-        for whole in batches:
-            for b in slices(whole, "text"):
-                for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    g = shingles(t, words)
-                    node = digest(g)
-                    if i is None or not len(g) or node in seen:
-                        continue
-                    seen.add(node)
-                    s = signatures(g, percent)
-                    held_s.append(s)
-                    held_n.append(np.full(len(s), node, np.int64))
-                    held += len(s)
-                if held > 1_500_000:
-                    yield flush()
-                    held_s, held_n, held = [], [], 0
-        if held:
-            yield flush()
+def _buckets(texts: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """``a, b`` of small buckets, and ``sig, a`` of the members of larger ones."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -255,13 +261,14 @@ def _buckets(texts: DataFrame, words: int, percent: int, parts: int) -> DataFram
         for part in list(held):
             yield from _split(held.pop(part), done.get(part, set()), last=True)[1]
 
-    sent = texts.mapInArrow(emit, "part long, rows binary")
+    sent = texts.mapInArrow(lambda batches: _sent(batches, words, percent, parts), "part long, rows binary")
     return sent.repartition(parts, "part").mapInArrow(meet, "sig long, a long, b long")
 
 
 def _split(blocks: list[np.ndarray], large: set, last: bool = False) -> tuple[np.ndarray, list[pa.RecordBatch]]:
     """Rows that stay and rows that go out; ``large`` remembers buckets already sent."""
     x = np.concatenate(blocks)
+    blocks.clear()
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
     if len(x) > 1:
         x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])]

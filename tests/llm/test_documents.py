@@ -311,3 +311,28 @@ def test_pipeline_keeps_columns_of_any_name(spark):
     empty = corpus_pipeline.pack(spark, corpus_pipeline.pseudonymise(spark, corpus_pipeline.deduplicate(spark, df.limit(0), ""), ""), "")
     assert empty.count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, masked, "").collect()} == {1, 3, 4, None, 9}
+
+
+def test_signatures_are_sent_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "HELD", 2000)
+    texts = [" ".join(f"w{i * 7 % 50}x{j * (i + 3) % 301}" for j in range(40 + i)) for i in range(150)] + ["", None]
+    ids = pa.array([*range(151), 151], pa.int64())
+    batch = pa.record_batch([ids, pa.array(texts)], ["doc_id", "text"])
+    want, most = set(), 0
+    for t in texts[:150]:
+        g = jaccard.shingles(t, 5)
+        s = jaccard.signatures(g, 80).tolist()
+        most = max(most, len(s))
+        want |= {(x, jaccard.digest(g) % (1 << 64)) for x in s}
+    got, sizes = set(), []
+    for b in jaccard._sent(iter([batch]), 5, 80, 7):
+        rows = [jaccard._decode(x) for x in b.column("rows").to_pylist()]
+        for part, x in zip(b.column("part").to_pylist(), rows, strict=True):
+            assert (x[:, 0] % np.uint64(7) == part).all()
+            got |= set(map(tuple, x.tolist()))
+        sizes.append(sum(map(len, rows)))
+    assert got == want
+    # No batch holds more than the bound and the signatures of one text.
+    assert len(sizes) > 3 and max(sizes) <= 2000 + most

@@ -7,7 +7,8 @@
    three second parts agree in full. Each set emits the digest of every such pair
    of parts, for its own band and the next one; similar sets share one. There are
    a few more first parts than that needs, so that a set with few empty pairs need
-   not emit those, which very many sets would share.
+   not emit those, which very many sets would share. A set with more empty pairs
+   cuts the domain anew: two similar sets do so until one of them has few.
 3. Buckets of few sets give their pairs. Counts of shingles over 64 cells bound the
    differences of two sets from below; pairs within the limit are checked on the
    whole sets.
@@ -41,6 +42,8 @@ FEW = 6
 BLOCK, PART = 500_000, 1_000_000
 #: Signatures that a task of the first side holds before it sends them, about.
 HELD = 500_000
+#: Times that a set with many empty pairs of parts cuts the domain.
+CUTS = 16
 #: Pairs of one left set that are checked in one place.
 PAIRS = 10_000
 _ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -93,6 +96,14 @@ def first_parts(percent: int, end: int) -> tuple[int, int]:
     return n1 + spare, spare
 
 
+def cuts(percent: int, end: int) -> int:
+    """How often sets of a band may cut the domain to have few empty pairs: once
+    where even the expected number for its smallest sets is too high."""
+    n1, spare = first_parts(percent, end)
+    least = end * percent * percent // 10_000
+    return CUTS if 3 * n1 * np.exp(-2 * least / (3 * n1)) <= spare + 1 else 1
+
+
 #: Size of sets up to which bands are worked out at first.
 TOP = 1 << 20
 _ENDS: dict[int, np.ndarray] = {}
@@ -106,26 +117,32 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
         _ENDS[percent] = np.array(ends + bands(percent, ends[-1] + 1)[len(ends) :])
     ends = _ENDS[percent]
     own = int(np.searchsorted(ends, len(grams)))
-    spread, out = mix(grams ^ _TWO), []
+    kept, out = mix(grams + _ONE), []
     for band in (own, own + 1):
         k = differences(percent, int(ends[band]))
         if k == 0:
             continue  # such sets are equal, thus in one class
         n1, spare = first_parts(percent, int(ends[band]))
-        part = ((spread >> np.uint64(32)) * np.uint64(3 * n1)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + _ONE)[order])])
-        edges = np.searchsorted(part[order], np.arange(3 * n1 + 1, dtype=np.uint64))
-        held = (sums[edges[1:]] - sums[edges[:-1]]).reshape(n1, 3)
-        pairs = held.sum(1, dtype=np.uint64)[:, None] - held
-        size = np.diff(edges).reshape(n1, 3)
-        filled = size.sum(1)[:, None] - size > 0
-        places = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + np.uint64(band << 32)
-        found = mix(pairs + mix(places))
-        # At least spare + 1 first parts have a pair that agrees. If no more than
-        # spare have an empty pair, one of the others tells.
-        enough = (~filled.all(1)).sum() <= spare
-        out.append(found[filled] if enough else found.ravel())
+        most = cuts(percent, int(ends[band]))
+        for cut in range(most):
+            spread = mix(grams ^ (_TWO + np.uint64(cut)))
+            part = ((spread >> np.uint64(32)) * np.uint64(3 * n1)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kept[order])])
+            edges = np.searchsorted(part[order], np.arange(3 * n1 + 1, dtype=np.uint64))
+            held = (sums[edges[1:]] - sums[edges[:-1]]).reshape(n1, 3)
+            pairs = held.sum(1, dtype=np.uint64)[:, None] - held
+            size = np.diff(edges).reshape(n1, 3)
+            filled = size.sum(1)[:, None] - size > 0
+            places = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + np.uint64((cut << 56) + (band << 32))
+            found = mix(pairs + mix(places))
+            # At least spare + 1 first parts have a pair that agrees. If no more than
+            # spare have an empty pair, one of the others tells. Otherwise the next cut
+            # tells: of two similar sets both get there unless one of them had enough.
+            enough = (~filled.all(1)).sum() <= spare
+            out.append(found.ravel() if cut + 1 == most and not enough else found[filled])
+            if enough:
+                break
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -423,6 +440,8 @@ def _large(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
     dealt = dealt.select("node", "label", "g", "grams", "block", other)
     dealt = dealt.select("node", "label", "g", "grams", "block", F.least("block", "other").alias("i"),
                          F.greatest("block", "other").alias("j"))
+    # Else the join by group is taken as deal enough, and one task gets all blocks of a group.
+    dealt = dealt.repartition("g", "i", "j")
     return dealt.groupBy("g", "i", "j").applyInPandas(_compare(percent), "a long, b long")
 
 

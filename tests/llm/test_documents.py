@@ -97,6 +97,56 @@ def test_signatures_meet_whenever_similar():
                 assert np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).size
 
 
+def test_unlike_sets_share_no_signature():
+    # Pairs of parts that are empty had one for all sets of a band.
+    rng = np.random.default_rng(2)
+    for n in (20, 62, 120, 310, 740):
+        found = [set(jaccard.signatures(rng.integers(0, 2**63, n).astype(np.uint64), 80).tolist()) for _ in range(150)]
+        assert len(set().union(*found)) == sum(map(len, found))
+
+
+@pytest.mark.parametrize("most", [1, 2, 16])
+def test_sets_of_many_empty_pairs_meet(monkeypatch, most):
+    monkeypatch.setattr(jaccard, "CUTS", most)
+    rng, again = np.random.default_rng(3), 0
+    for n in [20, 47, 59, 74, 93, 300] * 60:
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 12).astype(np.uint64)])
+        assert jaccard.linked(len(a) - n // 10, len(a), len(b), 80)
+        x, y = (jaccard.signatures(g, 80) for g in (a, np.sort(b)))
+        assert np.intersect1d(x, y).size
+        n1 = max(jaccard.first_parts(80, end)[0] for end in jaccard.bands(80, 2 * n))
+        again += len(x) > 6 * n1
+    assert most == 1 or again
+
+
+def test_blocks_of_one_group_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+
+    def keys(percent):
+        import pandas as pd
+
+        return lambda key, rows: pd.DataFrame({"a": [key[1]], "b": [key[2]]}).astype("int64")
+
+    monkeypatch.setattr(jaccard, "_compare", keys)
+    sets = spark.createDataFrame([(i, bytes(8 * 30)) for i in range(40)], "node long, grams binary")
+    members = spark.createDataFrame([(1, i) for i in range(40)], "sig long, a long")
+    none = spark.createDataFrame([], "a long, b long")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = jaccard._large(members, sets, none, 80).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == 12 * 13 // 2
+    assert len({r["task"] for r in got}) > 1
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_sets_in_the_last_bands_have_signatures(monkeypatch, percent):
     ends = jaccard.bands(percent, 400)

@@ -9,11 +9,12 @@
    a few more first parts than that needs, so that a set with few empty pairs need
    not emit those, which very many sets would share. A set with more empty pairs
    cuts the domain anew: two similar sets do so until one of them has few.
-3. Buckets of few sets give their pairs. Counts of shingles over 64 cells bound the
-   differences of two sets from below; pairs within the limit are checked on the
-   whole sets.
-4. Larger buckets whose members are not connected by then are compared in blocks
-   inside tasks, which put out links that connect, not pairs.
+3. Buckets of few sets give their pairs. Counts of shingles over 64 to 4,096 cells
+   bound the differences of two sets from below; pairs within the limit are checked
+   on the whole sets.
+4. Larger buckets fall apart by the same bound first, as most of their members share a
+   common phrase only. Parts whose members are not connected by then are compared in
+   blocks inside tasks, which put out links that connect, not pairs.
 5. Connected components over all links.
 
 All shingles of all texts take part and nothing is capped: the two ways of step 3
@@ -38,6 +39,8 @@ from rollcall.operators.lookup import Limits, is_small, lookup, salts
 
 #: Sets of a bucket up to which all its pairs are checked one by one.
 FEW = 6
+#: Members of a bucket up to which one task compares all their counts.
+MANY = 8_000
 #: Shingles of a block, and signatures of one part of the exchange, about.
 BLOCK, PART = 500_000, 1_000_000
 #: Signatures that a task of the first side holds before it sends them, about.
@@ -156,8 +159,60 @@ def digest(grams: np.ndarray) -> int:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """Shingles by cell, at most 255: two sets differ at least as much as their counts."""
-    return np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8)
+    """Shingles by cell, at most 255: two sets differ at least as much as their counts.
+
+    A power of two of cells, so that one of 64 to 4,096 holds 8 shingles or fewer."""
+    bits = min(12, max(6, (max(len(grams), 1) - 1).bit_length() - 3))
+    cell = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of counts over fewer cells, as if counted over these."""
+    if counts.shape[1] == cells:
+        return counts
+    return np.minimum(counts.reshape(len(counts), cells, -1).sum(2), 255).astype(np.uint8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differences by row of counts over equal cells."""
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
+
+
+def matrix(sketches: list[bytes], cells: int) -> np.ndarray:
+    """Counts of sets of any sizes over ``cells`` cells, which none has fewer of."""
+    length = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    out = np.empty((len(sketches), cells), np.uint8)
+    for own in np.unique(length):
+        at = np.flatnonzero(length == own)
+        out[at] = folded(np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(len(at), own), cells)
+    return out
+
+
+def connected(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Number of each set's part: sets that sizes and sketches allow to link are in one.
+
+    What is reached once is not compared again, so a part of near copies costs little.
+    """
+    counts = matrix(sketches, min(map(len, sketches)))
+    part = np.full(len(n), -1)
+    left = np.arange(len(n))
+    for start in range(len(n)):
+        if part[start] >= 0:
+            continue
+        part[start], open_ = start, [start]
+        left = left[left != start]
+        while open_ and len(left):
+            i = open_.pop()
+            m = n[left]
+            fits = 100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])
+            fits &= apart(counts[left], counts[i]) * (100 + percent) <= (100 - percent) * (m + n[i])
+            if fits.any():
+                found = left[fits]
+                part[found] = start
+                open_ += found.tolist()
+                left = left[~fits]
+    return part
 
 
 def _profile(src: DataFrame, words: int) -> DataFrame:
@@ -185,14 +240,75 @@ def _within(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int32) for c in "xy")
+            x, y = (t.column(c).to_pylist() for c in "xy")
+            cells = np.minimum([len(c) for c in x], [len(c) for c in y])
+            differ = np.zeros(len(x), np.int64)
+            for least in np.unique(cells):
+                at = np.flatnonzero(cells == least)
+                differ[at] = apart(*(matrix([c[i] for i in at], int(least)) for c in (x, y)))
             most = (100 - percent) * (t.column("n").to_numpy() + t.column("m").to_numpy())
-            keep = np.abs(x - y).sum(1) * (100 + percent) <= most
-            yield t.select(["a", "b"]).filter(pa.array(keep))
+            yield t.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= most))
 
     return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _parts(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``sig, a`` of the members ``sig, a`` of buckets, which fall apart into parts by sizes and sketches.
+
+    Sets of a bucket that link are in one part; sets that are alone in theirs go. A
+    bucket of more than ``MANY`` sets is cut into blocks; every two blocks are one
+    task's work, and what they connect is put together by components.
+    """
+    known = sizes.select(F.col("node").alias("a"), "n", "sketch")
+    count = members.groupBy("sig").agg(F.ceil(F.count("*") / MANY).cast("long").alias("blocks"))
+    big = stage(count.filter("blocks > 1"), "jaccard_big")  # at most members / MANY rows
+    if big.isEmpty():
+        dealt = members.join(known, "a").select("sig", "a", "n", "sketch", *(F.lit(0).cast("long").alias(c) for c in "ij"))
+    else:
+        cut = members.join(F.broadcast(big), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        cut = cut.join(known, "a").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = cut.filter("blocks = 1 or block <> other").select(
+            "sig", "a", "n", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        )
+    dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            a = t.column("a").to_numpy()
+            part = connected(t.column("n").to_numpy(), t.column("sketch").to_pylist(), percent)
+            keep = np.bincount(part, minlength=len(a))[part] > 1
+            if keep.any():
+                yield pa.record_batch(
+                    [t.column(c).combine_chunks().filter(pa.array(keep)) for c in ("sig", "i", "j", "a")]
+                    + [pa.array(a[part[keep]])], ["sig", "i", "j", "a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")], 1)
+            begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
+            for lo, hi in zip(begins, [*begins[1:], len(keys)], strict=True):
+                if held and key != tuple(keys[lo]):
+                    yield from flush()
+                key = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from flush()
+
+    found = dealt.mapInArrow(run, "sig long, i long, j long, a long, b long")
+    if big.isEmpty():
+        return found.select(F.xxhash64("sig", "b").alias("sig"), "a")
+    found = stage(found, "jaccard_blocks")
+    whole = found.filter("i = j").select(F.xxhash64("sig", "b").alias("sig"), "a")
+    cut = found.filter("i < j").select(F.xxhash64("sig", "a").alias("at"), F.xxhash64("sig", "b").alias("to"), "a")
+    over = components(cut.select(F.col("at").alias("a"), F.col("to").alias("b")), "jaccard_over")
+    over = over.select(F.col("node").alias("at"), F.col("component").alias("sig"))
+    return whole.unionByName(cut.select("at", "a").distinct().join(over, "at").select("sig", "a"))
+
+
 def _among(docs: DataFrame, name: Column, ids: DataFrame, how: str) -> DataFrame:
     """Documents whose id is, or isn't, among ``ids`` (one column): ids of a checked
     size are sent to the texts, more are joined without sorting the texts."""
@@ -459,7 +575,8 @@ def _linked_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_co
     sizes = stage(some.select("node", "n", "sketch").dropDuplicates(["node"]), "jaccard_sizes")
     pairs = met.filter("b is not null").select("a", "b").distinct()
     pairs = stage(_within(pairs, sizes, percent), "jaccard_pairs")
-    members = met.filter("b is null").select("sig", "a").distinct()
+    members = stage(met.filter("b is null").select("sig", "a").distinct(), "jaccard_members")
+    members = stage(_parts(members, sizes, percent), "jaccard_parts")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         members.select(F.col("a").alias("node"))
     ).distinct()

@@ -175,6 +175,41 @@ def test_crowded_part_flushes_large_buckets(monkeypatch):
     assert [r for b in out for r in b.to_pylist()] == [{"sig": 7, "a": 99, "b": None}, {"sig": None, "a": 1, "b": 2}]
 
 
+def test_jaccard_counts_bound_differences():
+    rng = np.random.default_rng(11)
+    grams = rng.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2)
+    grams[:9_000] >>= np.uint64(14)  # cells that hold more than 255
+    for n, m in ((1, 2), (500, 513), (1_024, 1_025), (3_000, 30_000), (32_768, 40_000)):
+        a, b = np.unique(grams[:n]), np.unique(grams[n // 5 : n // 5 + m])
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        least = min(len(x), len(y))
+        counts = jaccard.matrix([x.tobytes(), y.tobytes()], least)
+        cell = [(g >> np.uint64(64 - least.bit_length() + 1)).astype(int) for g in (a, b)]
+        assert (counts == [np.minimum(np.bincount(c, minlength=least), 255) for c in cell]).all()
+        assert jaccard.apart(counts[:1], counts[1:])[0] <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("many", [8_000, 3])
+def test_jaccard_large_buckets_fall_apart(spark, monkeypatch, many):
+    """Sets that share a common passage only are not sent whole to be compared."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"w{rng.randrange(10**9)}" for _ in range(120))])) for i in range(40)]
+    rows += [(100 + i, t + f" end{i}") for i, t in rows[:5]] + [(200 + i, t + f" stop{i}") for i, t in rows[:3]]
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "MANY", many, raising=False)
+    sent, large = [], jaccard._large
+
+    def spy(members, sets, links, percent):
+        sent.append(sets.count())
+        return large(members, sets, links, percent)
+
+    monkeypatch.setattr(jaccard, "_large", spy)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i % 100 for i, _ in rows}
+    assert sent == [13]  # those of the five groups of near copies
+
+
 def test_jaccard_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, 3, 90).collect())

@@ -1,12 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.operators import lookup as lookup_module
 from rollcall.operators.claims import first_claims, with_claim_state
 from rollcall.operators.decisions import Decisions
 from rollcall.operators.lookup import SALTS, Limits, heavy_keys, is_small, joint_key, lookup
 from rollcall.operators.match import found_rows, settled_rows
 from rollcall.operators.roster import index_roster
 from rollcall.plans.reconcile import Params, reconcile
+from rollcall.sources.staging import stage
 
 TINY = Limits(broadcast_bytes=0, hot_rows=50, null_spread=7)
 
@@ -102,6 +104,34 @@ def test_only_keys_of_heavy_hashes_are_counted_themselves(spark):
     assert not few.counts.inputFiles()
 
 
+def test_keys_are_counted_at_once_where_few_rows_make_them_heavy(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lookup_module, "stage", lambda df, name: (written.append((name, df)), stage(df, name))[1])
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 300).cast("string")).alias("key"))
+    heavy = heavy_keys(rows, {"a": F.col("key"), "b": F.upper(F.col("key"))}, Limits(broadcast_bytes=0, hot_rows=40))
+    got = heavy.of("b", "key").collect()
+    assert len(got) == 200 and {r[SALTS] for r in got} == {3}
+    # All hashes would be heavy, so they are not counted, and no key is computed within a function of arrays.
+    assert [name for name, _ in written] == ["heavy_keys"]
+    assert "lambda" not in written[0][1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_are_written_once_where_their_files_are_counted(spark):
+    members = spark.createDataFrame(
+        [(str(i), f"f{i}", f"l{i}", "", i) for i in range(9)], "id string, first_name string, last_name string, email string, ord bigint"
+    )
+    obs = spark.createDataFrame(
+        [(i % 2, f"file{i % 2}", "", i, str(i % 7), None, None, None, str(i), True, False, False) for i in range(20)],
+        "file_ord int, file string, sheet string, ord bigint, id_raw string, first_raw string, last_raw string, full_raw string, "
+        "value_raw string, has_id boolean, has_name boolean, has_full boolean",
+    )
+    run = reconcile(members, obs, limits=Limits(broadcast_bytes=0, hot_rows=2))
+    assert not run.files_small
+    got = {r.id: (r.value, r.source) for r in run.consolidated.collect()}
+    assert got == {str(i): (float(i), f"file{i % 2}") if i < 7 else (None, None) for i in range(9)}
+    assert {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in run.consolidated.inputFiles()} == {"members", "claims"}
+
+
 def test_settled_rows_are_not_shuffled_again(spark):
     roster = index_roster(
         spark.createDataFrame(

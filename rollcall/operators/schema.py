@@ -425,7 +425,9 @@ def resolve_sheets(
 
     ``sizes``: file_ord, sheet_ord, n_rows of each sheet, where the caller knows them.
     """
-    sheets = select_sheets(find_headers(lines) if headers is None else headers, sheet_selection)
+    # Asked for its content first and then settled: the head lines, which may be long, are looked at once.
+    headers = stage(find_headers(lines), "headers") if headers is None else headers
+    sheets = select_sheets(headers, sheet_selection)
     sheets = with_choices(with_columns_listed(sheets), column_choices)
     sheets = with_value_candidates(with_key_roles(sheets))
     if sheets.where("needs_content").isEmpty():

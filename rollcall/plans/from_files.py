@@ -41,11 +41,13 @@ class Observed:
 
 
 def scan(
-    spark: SparkSession, inputs: DataFrame, limits: Limits = Limits()
+    spark: SparkSession, inputs: DataFrame, limits: Limits = Limits(), written: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Lines of all inputs, and (plain, error) for those that cannot be read.
 
-    The paths come from the driver's own listing, which Spark needs anyway.
+    The paths come from the driver's own listing, which Spark needs anyway. With ``written``
+    the cells of delimited files are written once, for callers that read lines more than once;
+    those of workbooks always are.
     """
     known = F.col("ext").isin(DELIMITED_EXTENSIONS + WORKBOOK_EXTENSIONS)
     hidden = F.col("file").rlike("^[_.]")
@@ -63,6 +65,7 @@ def scan(
     )
     if text:
         cells, too_long = scan_delimited(spark, text, limits)
+        cells = stage(cells, "cells") if written else cells
         lines = lines.unionByName(
             cells.select("plain", F.lit(0).alias("sheet_ord"), F.lit("").alias("sheet"), "row_idx", "cells")
         )
@@ -157,7 +160,7 @@ def observe_files(
     limits: Limits = Limits(),
 ) -> Observed:
     """Scan inputs, settle each sheet's header and columns, pick observations."""
-    lines, errors = scan(spark, inputs, limits)
+    lines, errors = scan(spark, inputs, limits, written=True)
     bases = sheet_bases(lines, inputs)
     lines = ordered(lines, inputs, limits, bases)
     sheets = resolve_sheets(
@@ -172,7 +175,7 @@ def observe_files(
 def roster_from_file(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """Roster rows of one file: first sheet, first matching columns."""
     inputs = list_inputs(spark, "/", [path])
-    lines, errors = scan(spark, inputs, limits)
+    lines, errors = scan(spark, inputs, limits, written=True)
     failed = errors.first()
     if failed is not None:
         raise ValueError(f"cannot read roster '{path}': {failed.error}")

@@ -81,8 +81,8 @@ def latin1() -> Column:
     return F.decode("raw", "ISO-8859-1")
 
 
-def _outside_quotes(c: Column | str) -> Column:
-    return F.regexp_replace(c, '"[^"]*"', "")
+def _outside_quotes(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit('"')), F.regexp_replace(c, '"[^"]*"', "")).otherwise(c)
 
 
 QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
@@ -99,8 +99,13 @@ def opens(text: Column, delimiter: str) -> Column:
     closes. Possessive patterns need no stack, however long a line is.
     """
     d = _mark(delimiter)
-    left = F.regexp_replace(text, f"(^|{d}){QUOTED}[^{d}]*+", "$1")
-    return F.contains(text, F.lit('"')) & left.rlike(f'(^|{d})"')
+    # The quote comes first in the pattern, so that other characters are passed over quickly.
+    left = F.regexp_replace(text, f'"(?<![^{d}]"){QUOTED[1:]}[^{d}]*+', "")
+
+    def begins(c: Column) -> Column:
+        return F.contains(F.concat(F.lit(delimiter), c), F.lit(f'{delimiter}"'))
+
+    return begins(text) & begins(left)
 
 
 def stays_open(text: Column, delimiter: str) -> Column:
@@ -124,17 +129,26 @@ def profile(lines: DataFrame) -> DataFrame:
     one found on most lines, then the most frequent.
     """
     undefined = "[" + "".join(f"\\x{{{b:x}}}" for b in CP1252_UNDEFINED) + "]"
-    seen = _outside_quotes(latin1())
-    counts = [
-        F.length(seen) - F.length(F.replace(seen, F.lit(d), F.lit(""))) for d in DELIMITERS
-    ]
-    per_file = lines.groupBy("plain").agg(
-        F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
-        F.bool_and(~latin1().rlike(undefined)).alias("cp1252"),
-        F.bool_or((F.col("row_idx") < 2) & latin1().rlike(UTF7_PATTERN)).alias("shifted"),
-        *(F.bool_or(opens(_unmarked(latin1()), d)).alias(f"open{i}") for i, d in enumerate(DELIMITERS)),
-        *(F.count_if(c > 0).alias(f"on{i}") for i, c in enumerate(counts)),
-        *(F.sum(c).alias(f"of{i}") for i, c in enumerate(counts)),
+    # Columns of their own: aggregates would look at a line anew for each count.
+    told = lines.withColumn("latin", latin1())
+    told = told.withColumns({"seen": _outside_quotes(F.col("latin")), "unmarked": _unmarked(F.col("latin"))})
+    told = told.select(
+        "plain",
+        F.is_valid_utf8(F.col("raw").cast("string")).alias("utf8"),
+        (~F.col("latin").rlike(undefined)).alias("cp1252"),
+        ((F.col("row_idx") < 2) & F.col("latin").rlike(UTF7_PATTERN)).alias("shifted"),
+        *(opens(F.col("unmarked"), d).alias(f"open{i}") for i, d in enumerate(DELIMITERS)),
+        *(
+            (F.length("seen") - F.length(F.replace(F.col("seen"), F.lit(d), F.lit("")))).alias(f"of{i}")
+            for i, d in enumerate(DELIMITERS)
+        ),
+    )
+    each = range(len(DELIMITERS))
+    per_file = told.groupBy("plain").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252"), F.bool_or("shifted").alias("shifted"),
+        *(F.bool_or(f"open{i}").alias(f"open{i}") for i in each),
+        *(F.count_if(F.col(f"of{i}") > 0).alias(f"on{i}") for i in each),
+        *(F.sum(f"of{i}").alias(f"of{i}") for i in each),
     )
     ranked = F.array(
         *(
@@ -265,6 +279,8 @@ def _words(lines: DataFrame, small: bool) -> DataFrame:
         F.min("n").alias("first_n"),
         *(F.bit_or(F.when(c, _bit("k")).otherwise(none)).alias(name) for name, c in flags.items()),
     )
+    # Several aggregates and joins read the masks, each of other columns: the text is looked at once.
+    words = stage(words, "masks")
     words = words.withColumn("shuts", F.col("present").bitwiseAND(F.bitwise_not("open1")))
     highest = F.length(F.bin("shuts")) - 1
     last = words.where("shuts <> 0").groupBy("plain").agg(F.max(F.struct("block", "word", highest.alias("k"))).alias("last"))

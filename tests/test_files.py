@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 import rollcall
 from rollcall.checks.files import ods_bytes, xlsx_bytes
 from rollcall.operators.decisions import Decisions
-from rollcall.plans.from_files import roster_from_file, scan
+from rollcall.operators.lookup import Limits
+from rollcall.operators.schema import resolve_sheets
+from rollcall.plans.from_files import observe_files, roster_from_file, scan
 from rollcall.plans.reconcile import Params
 from rollcall.sources import staging, workbook
-from rollcall.sources.delimited import scan_delimited
+from rollcall.sources.delimited import numbered_words, scan_delimited
 from rollcall.sources.inputs import list_inputs
 from rollcall.sources.sink import write_result
 
@@ -389,6 +391,27 @@ def test_only_lines_of_open_records_are_grouped(spark, tmp_path):
     assert sent and sum(sent) < 2000
 
 
+def test_lines_and_heads_are_looked_at_once(spark, tmp_path):
+    put(tmp_path, "a.csv", [["Relevé\n\n", "", "", ""], HEAD, *([f"{i:05d}", "x\n\n\"y", "z", str(i)] for i in range(90))])
+    put(tmp_path, "b.csv", [HEAD, *([f"{i:05d}", "x", "z", str(i)] for i in range(90, 99))], sep=";")
+    limits = Limits(broadcast_bytes=0, hot_rows=20)
+    seen = observe_files(spark, list_inputs(spark, str(tmp_path), folder="."), limits=limits)
+    got = {(r.id_raw, r.first_raw, r.value_raw) for r in seen.observations.collect()}
+    assert got == {(f"{i:05d}", 'x\n\n"y' if i < 90 else "x", str(i)) for i in range(99)}
+    # Cells are split once, and headers looked for once; neither reads the lines again.
+    made = lambda df: {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in df.inputFiles()}
+    assert "cells" in made(seen.lines) and not {"lines", "words"} & made(seen.lines)
+    resolved = resolve_sheets(seen.lines, limits=limits)
+    assert "headers" in made(resolved) and "cells" not in made(resolved)
+    # So are the masks of lines, which several aggregates read.
+    lines = spark.createDataFrame(
+        [("f", 0, i, False, '"a' if i % 5 == 0 else 'b"' if i % 5 == 1 else "c", ",") for i in range(200)],
+        "plain string, block bigint, n bigint, blank boolean, text string, delimiter string",
+    )
+    words = numbered_words(lines, False)
+    assert made(words) == {"masks"} and words.agg(F.sum(F.bit_count("inside"))).first()[0] == 40
+
+
 def exchanged(node):
     """Bytes that each shuffle of an executed plan wrote."""
     name, out = node.nodeName(), []

@@ -10,6 +10,7 @@ from rollcall.checks.files import ods_bytes, xlsx_bytes
 from rollcall.operators.decisions import Decisions
 from rollcall.operators.lookup import Limits
 from rollcall.operators.schema import resolve_sheets
+from rollcall.plans import reconcile as plan
 from rollcall.plans.from_files import observe_files, roster_from_file, scan
 from rollcall.plans.reconcile import Params
 from rollcall.sources import staging, workbook
@@ -412,6 +413,20 @@ def test_lines_and_heads_are_looked_at_once(spark, tmp_path):
     assert made(words) == {"masks"} and words.agg(F.sum(F.bit_count("inside"))).first()[0] == 40
 
 
+def test_keys_of_a_large_roster_are_counted_over_written_cells(spark, tmp_path, monkeypatch):
+    rows = [[f"{i:05d}", f, n, str(i)] for i, (_, f, n, _) in enumerate(ROSTER[1:], 1)]
+    put(tmp_path, "a.csv", [HEAD, *rows[:5]])
+    book(tmp_path, "b.ods", {"S": [HEAD, *rows[4:]]})
+    read = []
+    counted = plan.heavy_keys
+    monkeypatch.setattr(plan, "heavy_keys", lambda df, *rest: (read.append(df), counted(df, *rest))[1])
+    got = outcome(run(spark, tmp_path, ["a.csv", "b.ods"], limits=Limits(broadcast_bytes=0, hot_rows=20)))
+    assert got == {f"{i:05d}": (float(i), "a.csv" if i < 6 else "b.ods") for i in range(1, 13)}
+    # Lines are decoded and split once, not again to count keys.
+    made = {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in read[0].inputFiles()}
+    assert "cells" in made and "lines" not in made
+
+
 def exchanged(node):
     """Bytes that each shuffle of an executed plan wrote."""
     name, out = node.nodeName(), []
